@@ -4,24 +4,48 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codestrata.llm import token_binary, toxicity
+from codestrata.llm import decontaminate, minhash, mixing, token_binary, toxicity
 from codestrata.llm.common import save, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model rejects go."""
     return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
 
 
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays."""
+    return minhash.keep_representatives(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a benchmark passage go."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are drawn to the sources' token budgets; one drawn more than once is repeated."""
+    return mixing.mix(docs, table(spark, sf_dir, "labels"))
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Compressed token ids, one record for each document."""
     return token_binary.encode_documents(docs)
 
 
-STAGES = [("toxicity", drop_toxic), ("token binary", encode)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("mixing", mix_sources),
+    ("token binary", encode),
+]
 #: Models, fuzzy groups and compressed frames are beyond SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's records; what comes before it is saved in the shared folder, stage by stage."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = save(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
