@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 WORD = re.compile(r"\w+")
 NO_WORD = re.compile(r"[^\w \n]+")
@@ -151,3 +152,8 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """``docs`` with every row as one struct ``doc``, so that no column of its own clashes with an operator's."""
+    return docs.select(F.struct(*docs.columns).alias("doc"))

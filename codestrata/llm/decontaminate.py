@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hash_words, save, starts_of, table, text_chunks
+from .common import hash_words, packed, save, starts_of, table, text_chunks
 
 PHRASE = 10
 PROXIMITY_TERMS = 8
@@ -233,10 +233,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, phrase: int = PHRAS
     don't matter. The matched hashes are a saved table: the planner knows its
     size and broadcasts it only where it is small.
     """
-    key = F.xxhash64(F.col("text").cast("string"))
-    matched = find_matches(docs.select(key.alias("doc_id"), "text"), benchmark, phrase)
-    keys = save(matched.select(F.col("doc_id").alias("_cs_matched")).distinct(), "contaminated")
-    return docs.join(keys, key == F.col("_cs_matched"), "left_anti")
+    matched = find_matches(docs.select(F.xxhash64(F.col("text").cast("string")).alias("doc_id"), "text"), benchmark, phrase)
+    keys = save(matched.select(F.col("doc_id").alias("matched")).distinct(), "contaminated")
+    return packed(docs).join(keys, F.xxhash64(F.col("doc.text").cast("string")) == F.col("matched"), "left_anti").select("doc.*")
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, hash_words, mix64, save, starts_of, table, text_chunks
+from .common import discard, hash_words, mix64, packed, save, starts_of, table, text_chunks
 
 SHINGLE = 3
 BANDS, ROWS = 40, 4
@@ -270,13 +270,14 @@ def keep_representatives(docs: DataFrame, threshold: float = THRESHOLD, bands: i
     members = labelled(docs, threshold, bands, rows)
     distinct = members.groupBy("doc_id", "row").agg(F.first("root").alias("root"), F.count(F.lit(1)).alias("copies"))
     first = Window.partitionBy("root").orderBy(F.col("doc_id").asc_nulls_last(), "row")
-    ranked = distinct.withColumn("rank", F.row_number().over(first)).select(F.col("doc_id").alias("_cs_doc"), F.col("row").alias("_cs_row"), "rank", "copies")
+    ranked = distinct.withColumn("rank", F.row_number().over(first))
     single = (F.col("rank") == 1) & (F.col("copies") == 1)
-    dropped = save(ranked.where(~single).select("_cs_doc", "_cs_row"), "dropped")
-    repeated = save(ranked.where("rank = 1 and copies > 1").select("_cs_doc", "_cs_row"), "repeated")
-    same = F.xxhash64(docs["text"].cast("string")).eqNullSafe(F.col("_cs_row")) & docs["doc_id"].cast("bigint").eqNullSafe(F.col("_cs_doc"))
-    once = docs.join(repeated, same).dropDuplicates(["_cs_doc", "_cs_row"]).select(*(docs[c] for c in docs.columns))
-    return docs.join(dropped, same, "left_anti").unionAll(once)
+    dropped = save(ranked.where(~single).select("doc_id", "row"), "dropped")
+    repeated = save(ranked.where("rank = 1 and copies > 1").select("doc_id", "row"), "repeated")
+    rows = packed(docs)
+    same = F.xxhash64(F.col("doc.text").cast("string")).eqNullSafe(F.col("row")) & F.col("doc.doc_id").cast("bigint").eqNullSafe(F.col("doc_id"))
+    once = rows.join(repeated, same).dropDuplicates(["doc_id", "row"]).select("doc.*")
+    return rows.join(dropped, same, "left_anti").select("doc.*").unionAll(once)
 
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

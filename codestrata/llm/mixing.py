@@ -21,10 +21,10 @@ contradicting labels the higher.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import save, table
+from .common import packed, save, table
 
 #: Quality weights of good, unlabelled and bad documents.
 GOOD, UNKNOWN, BAD = 1.0, 0.5, 0.25
@@ -35,65 +35,63 @@ SEED = "mix"
 BUCKETS = 4096
 
 
-def with_keys(docs: DataFrame, labels: DataFrame, seed: str = SEED) -> DataFrame:
-    """``docs`` with ``_cs_tokens``, ``_cs_key`` and ``_cs_bucket``; the labels' weights come by a join on ``doc_id``."""
-    weight = labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("_cs_doc")).agg(F.max(F.col("quality").cast("int")).alias("_cs_quality"))
+def tokens(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text.cast("string"), F.lit(r"[^ \t\r\n\f]+")), F.lit(0)).cast("bigint")
+
+
+def with_keys(rows: DataFrame, labels: DataFrame, seed: str = SEED) -> DataFrame:
+    """``rows`` (with ``doc_id``) and their ``key`` and ``bucket``; the labels' weights come by a join on the id."""
+    weight = labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("labelled")).agg(F.max(F.col("quality").cast("int")).alias("quality"))
     u = (F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(f":{seed}"))), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(2.0**52)
-    w = F.when(F.col("_cs_quality") >= 1, GOOD).when(F.col("_cs_quality") <= 0, BAD).otherwise(UNKNOWN)
-    key = -F.log(u) / w
-    keyed = docs.withColumn("_cs_tokens", F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(r"[^ \t\r\n\f]+")), F.lit(0)).cast("bigint"))
-    return keyed.join(weight, F.col("doc_id") == F.col("_cs_doc"), "left").withColumn("_cs_key", key).withColumn("_cs_bucket", F.floor((1 - F.exp(-F.col("_cs_key"))) * BUCKETS)).drop("_cs_doc", "_cs_quality")
+    w = F.when(F.col("quality") >= 1, GOOD).when(F.col("quality") <= 0, BAD).otherwise(UNKNOWN)
+    keyed = rows.join(weight, F.col("doc_id") == F.col("labelled"), "left").withColumn("key", -F.log(u) / w)
+    return keyed.withColumn("bucket", F.floor((1 - F.exp(-F.col("key"))) * BUCKETS)).drop("labelled", "quality")
 
 
 def cuts(keyed: DataFrame, alpha: float = ALPHA, budget: float = BUDGET) -> DataFrame:
-    """By source: ``_cs_epochs`` and the last (key, id) of its fraction; a small saved table.
-
-    ``keyed`` needs ``source``, ``doc_id`` and the columns of :func:`with_keys`.
-    """
-    totals = save(keyed.groupBy("source", "_cs_bucket").agg(F.sum("_cs_tokens").alias("tokens")), "buckets")
+    """For each source its ``epochs``, the bucket in which its fraction ends and the last (key, id) of it there; a small saved table."""
+    totals = save(keyed.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("tokens")), "buckets")
     sources = totals.groupBy("source").agg(F.sum("tokens").alias("total"))
     grand = sources.agg(F.sum("total").cast("double").alias("all_tokens"), F.sum(F.pow(F.col("total").cast("double"), F.lit(alpha))).alias("norm"))
     target = F.when(F.col("norm") > 0, F.floor(F.col("all_tokens") * F.lit(budget) * F.pow(F.col("total").cast("double"), F.lit(alpha)) / F.col("norm"))).otherwise(0)
     shares = sources.crossJoin(grand).withColumn("target", target)
     shares = shares.withColumn("epochs", F.when(F.col("total") > 0, F.floor(F.col("target") / F.col("total"))).otherwise(0))
-    shares = shares.select(F.col("source").alias("s"), F.col("epochs").alias("_cs_epochs"), (F.col("target") - F.col("epochs") * F.col("total")).alias("rest"))
-    running = Window.partitionBy("source").orderBy("_cs_bucket")
+    shares = shares.select(F.col("source").alias("s"), "epochs", (F.col("target") - F.col("epochs") * F.col("total")).alias("rest"))
+    running = Window.partitionBy("source").orderBy("bucket")
     before = totals.withColumn("through", F.sum("tokens").over(running))
     ending = before.join(shares, F.col("source").eqNullSafe(F.col("s"))).groupBy("s").agg(
-        F.first("_cs_epochs").alias("_cs_epochs"), F.first("rest").alias("rest"), F.min(F.when(F.col("through") > F.col("rest"), F.col("_cs_bucket"))).alias("last"), F.max(F.when(F.col("through") <= F.col("rest"), F.col("through"))).alias("full")
+        F.first("epochs").alias("epochs"), F.first("rest").alias("rest"), F.min(F.when(F.col("through") > F.col("rest"), F.col("bucket"))).alias("last"), F.max(F.when(F.col("through") <= F.col("rest"), F.col("through"))).alias("full")
     )
     ending = save(ending.withColumn("full", F.coalesce("full", F.lit(0))), "ending")
-    inside = keyed.select("source", "doc_id", "_cs_key", "_cs_bucket", "_cs_tokens").join(ending.select(F.col("s").alias("s2"), "last", "full", "rest"), F.col("source").eqNullSafe(F.col("s2")) & (F.col("_cs_bucket") == F.col("last")))
-    order = Window.partitionBy("s2").orderBy("_cs_key", "doc_id")
-    fits = inside.withColumn("through", F.col("full") + F.sum("_cs_tokens").over(order)).where(F.col("through") <= F.col("rest"))
+    inside = keyed.select("source", "doc_id", "key", "bucket", "n_tokens").join(ending.select(F.col("s").alias("s2"), "last", "full", "rest"), F.col("source").eqNullSafe(F.col("s2")) & (F.col("bucket") == F.col("last")))
+    order = Window.partitionBy("s2").orderBy("key", "doc_id")
+    fits = inside.withColumn("through", F.col("full") + F.sum("n_tokens").over(order)).where(F.col("through") <= F.col("rest"))
     # a null id sorts first in both: no id is below it
-    last = fits.groupBy(F.col("s2").alias("s3")).agg(F.max(F.struct(F.col("_cs_key"), F.col("doc_id"))).alias("_cs_cut"))
+    last = fits.groupBy(F.col("s2").alias("s3")).agg(F.max(F.struct(F.col("key"), F.col("doc_id"))).alias("cut"))
     # rows of buckets before the last are in; those of the last one up to the cut
-    return save(ending.join(last, F.col("s").eqNullSafe(F.col("s3")), "left").select(F.col("s").alias("_cs_source"), "_cs_epochs", F.col("last").alias("_cs_last"), "_cs_cut"), "cuts")
+    return save(ending.join(last, F.col("s").eqNullSafe(F.col("s3")), "left").select(F.col("s").alias("of"), "epochs", "last", "cut"), "cuts")
 
 
 def with_copies(keyed: DataFrame, cut: DataFrame) -> DataFrame:
-    """``keyed`` with ``_cs_copies``, the epochs of its source and one more where it is in the fraction."""
-    b, last = F.col("_cs_bucket"), F.col("_cs_last")
-    at_end = (b == last) & F.coalesce(F.struct(F.col("_cs_key"), F.col("doc_id")) <= F.col("_cs_cut"), F.lit(False))
+    """``keyed`` with ``copies``, the epochs of its source and one more where it is in the fraction."""
+    b, last = F.col("bucket"), F.col("last")
+    at_end = (b == last) & F.coalesce(F.struct(F.col("key"), F.col("doc_id")) <= F.col("cut"), F.lit(False))
     inside = F.coalesce(last.isNull() | (b < last) | at_end, F.lit(False))
-    return keyed.join(cut, F.col("source").eqNullSafe(F.col("_cs_source")), "left").withColumn("_cs_copies", (F.col("_cs_epochs") + inside.cast("int")).cast("int"))
+    return keyed.join(cut, F.col("source").eqNullSafe(F.col("of")), "left").withColumn("copies", (F.col("epochs") + inside.cast("int")).cast("int"))
 
 
 def select_documents(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, budget: float = BUDGET) -> DataFrame:
     """``doc_id``, ``source``, ``n_tokens`` and ``copies`` of the selected rows; texts stay where they are."""
-    slim = docs.select("doc_id", "source", "text")
-    keyed = save(with_keys(slim, labels).drop("text"), "keys")
-    chosen = with_copies(keyed, cuts(keyed, alpha, budget)).where("_cs_copies > 0")
-    return chosen.select("doc_id", "source", F.col("_cs_tokens").alias("n_tokens"), F.col("_cs_copies").alias("copies"))
+    keyed = save(with_keys(docs.select("doc_id", "source", tokens(F.col("text")).alias("n_tokens")), labels), "keys")
+    return with_copies(keyed, cuts(keyed, alpha, budget)).where("copies > 0").select("doc_id", "source", "n_tokens", "copies")
 
 
 def mix(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, budget: float = BUDGET) -> DataFrame:
     """The rows of ``docs``, all columns, each as often as it is selected."""
-    keyed = with_keys(docs, labels)
-    slim = save(with_keys(docs.select("doc_id", "source", "text"), labels).drop("text"), "keys")
-    rows = with_copies(keyed, cuts(slim, alpha, budget)).where("_cs_copies > 0")
-    return rows.withColumn("_cs_copy", F.explode(F.sequence(F.lit(1), F.col("_cs_copies")))).select(*docs.columns)
+    slim = save(with_keys(docs.select("doc_id", "source", tokens(F.col("text")).alias("n_tokens")), labels), "keys")
+    rows = with_keys(packed(docs).select("doc", F.col("doc.doc_id").alias("doc_id"), F.col("doc.source").alias("source")), labels)
+    chosen = with_copies(rows, cuts(slim, alpha, budget)).where("copies > 0")
+    return chosen.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")
 
 
 ORACLE = f"""
