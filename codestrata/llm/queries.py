@@ -17,9 +17,6 @@ QUERIES = {
     "op10_token_counts": token_counts.op10_token_counts,
 }
 ORACLES = {
-    "op4_suffix_dedup": repeats.op4_suffix_dedup,
     "op5_line_dedup": line_dedup.ORACLE,
-    "op6_neighbours": neighbours.op6_neighbours,
-    "op7_minhash": minhash.op7_minhash,
     "op8_mixing": mixing.ORACLE,
 }
