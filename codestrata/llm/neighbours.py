@@ -173,7 +173,7 @@ def nearest(embeddings: DataFrame, k: int = K, shard: int = SHARD) -> DataFrame:
     own = save(shards.repartition(pieces, "shard").mapInArrow(inside, PAIRS), "own")
     # each query's bound, in the order of its shard
     position = F.col("query") % (1 << 24)
-    kth = own.groupBy("query").agg(F.sort_array(F.collect_list("distance"))[k - 1].alias("kth")).withColumn("shard", F.expr("shiftright(query, 24)"))
+    kth = own.groupBy("query").agg(F.get(F.sort_array(F.collect_list("distance")), F.lit(k - 1)).alias("kth")).withColumn("shard", F.expr("shiftright(query, 24)"))
     bounds = kth.groupBy("shard").agg(F.transform(F.array_sort(F.collect_list(F.struct(position.alias("at"), "kth"))), lambda x: x["kth"]).alias("kth"), F.transform(F.array_sort(F.collect_list(F.struct(position.alias("at"), "kth"))), lambda x: x["at"]).alias("at"))
     left = shards.join(bounds, "shard", "left").select(*(F.col(c).alias(f"q_{c}") for c in ("shard", "dim", "ids", "vectors", "kth", "at")))
     names = shards.select("shard")

@@ -294,6 +294,9 @@ def test_neighbours_of_few_and_repeated_rows(spark):
     got = sorted(((n.vec_id or 0, n.rank, n.neighbor_id or 0, n.distance) for n in neighbours.nearest(table, 5).collect()))
     assert got == [(0, 1, 1, 3.0), (0, 2, 1, 3.0), (1, 1, 1, 0.0), (1, 1, 1, 0.0), (1, 2, 0, 3.0), (1, 2, 0, 3.0)]
     assert neighbours.nearest(table.limit(0)).count() == 0
+    spread = spark.createDataFrame([(i, [float(i), 0.0]) for i in range(6)], "vec_id bigint, embedding array<double>").repartition(3)
+    few = [(n.vec_id, n.rank, n.distance) for n in neighbours.nearest(spread, 4, 2).collect()]
+    assert len(few) == 24 and sorted(d for v, _, d in few if v == 0) == [1.0, 2.0, 3.0, 4.0]
 
 
 # 7: near duplicates
