@@ -178,6 +178,17 @@ def test_toxicity_is_right_on_held_out_documents_and_finds_the_sentences(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(range(1200)) - flagged
 
 
+def test_toxicity_knows_unseen_forms_of_a_word_and_leaves_long_clean_texts_alone():
+    r = random.Random(5)
+    texts = [" ".join(f"w{r.randrange(3000)}" for _ in range(80)) for _ in range(300)]
+    for i in range(60):
+        texts[i] += f". you vileform{i} there"
+    model = toxicity.fit(texts, np.array([1.0] * 60 + [0.0] * 240))
+    scorer = toxicity.Scorer(model)
+    assert scorer.score("a b. you vilefornew c")[0] > 0.5
+    assert scorer.score(". ".join(f"w{i} w{i + 1}" for i in range(3000)))[0] < 0.5
+
+
 def test_toxicity_odd_input(spark):
     docs = odd_documents(spark)
     labels = spark.createDataFrame([(1, 1, 1), (2, 1, 0), (None, 1, 1), (4, 0, None)], "doc_id bigint, quality int, toxic int")
