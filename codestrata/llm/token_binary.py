@@ -101,7 +101,10 @@ def train_dictionary(docs: DataFrame, vocabulary: str = VOCABULARY, train_docs:
     Where there is too little to train on, the samples themselves are the
     dictionary's content.
     """
-    sample = docs.select("doc_id", F.substring("text", 1, TRAIN_BYTES).alias("text")).where("text is not null").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(train_docs)
+    keyed = docs.select(F.xxhash64("doc_id").alias("h"), "doc_id", F.substring("text", 1, TRAIN_BYTES).alias("text")).where("text is not null")
+    # hashes first: what a task sends is then small, however many tasks there are
+    cut = keyed.select("h").orderBy("h").limit(train_docs).agg(F.max("h")).first()[0]
+    sample = keyed.where(F.col("h") <= F.lit(cut).cast("bigint")).orderBy("h", "doc_id", "text").limit(train_docs)
     samples = [x[:TRAIN_BYTES] for x in encoder_of(vocabulary).encode(pa.array([r.text for r in sample.collect()], pa.string())) if x]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples, k=200, d=8, level=LEVEL).as_bytes()
@@ -131,7 +134,7 @@ def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, train_docs:
             shared.precompute_compress(level=LEVEL)
         compress = zstandard.ZstdCompressor(level=LEVEL, dict_data=shared, write_content_size=True).compress
         first = True
-        for part in byte_chunks(batches, most=16_000_000):
+        for part in byte_chunks(batches, most=2_000_000):
             ids = encoder.encode(part.column(1))
             frames = [compress(x) for x in ids]
             lengths = np.array([len(x) for x in frames], np.int64)
