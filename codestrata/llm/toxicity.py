@@ -29,7 +29,7 @@ from .common import WORD, fold, table, text_chunks
 
 SENTENCE = re.compile(r"[^.!?\n]+")
 #: Bound on the labelled documents a model is fitted on, half of each class.
-TRAIN_DOCS = 8000
+TRAIN_DOCS = 4000
 #: A document at or over this noisy-or probability is rejected.
 THRESHOLD = 0.5
 #: A word must be in this many training documents to get a weight.
@@ -76,37 +76,34 @@ def fit(texts: list[str | None], toxic: np.ndarray, rounds: int = 300, l2: float
     """
     if not len(toxic) or toxic.min() == toxic.max():
         return {}
-    index: dict[str, int] = {}
+    df: Counter[str] = Counter()
+    df_toxic: Counter[str] = Counter()
+    for text, bad in zip(texts, toxic):
+        seen = {f for word in set(WORD.findall(fold(text or ""))) for f in features(word)}
+        df.update(seen)
+        if bad > 0:
+            df_toxic.update(seen)
+    names = np.array(sorted(f for f in df_toxic if df[f] >= MIN_DOCS), object)
+    total, bad = (np.array([x[f] for f in names], float) for x in (df, df_toxic))
+    names = names[association(total, bad, len(texts), toxic.sum()) >= MIN_CHI2]
+    if not len(names):
+        return {}
+    # only sentences with a screened word are kept; others score 0
+    column = {f: i for i, f in enumerate(names)}
     of_word: dict[str, list[int]] = {}
     feature_at, sentence_at, sentence_doc = [], [], []
-    df: Counter[int] = Counter()
-    df_toxic: Counter[int] = Counter()
-    for d, text in enumerate(texts):
-        seen: set[int] = set()
+    for i, text in enumerate(texts):
         for sentence in SENTENCE.findall(fold(text or "")):
             n = len(feature_at)
-            for word in set(WORD.findall(sentence)):
+            for word in sorted(set(WORD.findall(sentence))):
                 own = of_word.get(word)
                 if own is None:
-                    own = of_word[word] = [index.setdefault(f, len(index)) for f in features(word)]
+                    own = of_word[word] = [column[f] for f in features(word) if f in column]
                 feature_at.extend(own)
             if n < len(feature_at):
                 sentence_at.extend([len(sentence_doc)] * (len(feature_at) - n))
-                sentence_doc.append(d)
-                seen.update(feature_at[n:])
-        df.update(seen)
-        if toxic[d] > 0:
-            df_toxic.update(seen)
-    total, bad = (np.array([x[i] for i in range(len(index))], float) for x in (df, df_toxic))
-    kept = np.flatnonzero((total >= MIN_DOCS) & (association(total, bad, len(texts), toxic.sum()) >= MIN_CHI2))
-    if not len(kept):
-        return {}
-    column = np.full(len(index), -1)
-    column[kept] = np.arange(len(kept))
-    w, s, d = column[np.array(feature_at)], np.array(sentence_at), np.array(sentence_doc)
-    s, w = s[w >= 0], w[w >= 0]
-    some, s = np.unique(s, return_inverse=True)  # sentences with none of the words score 0
-    d = d[some]
+                sentence_doc.append(i)
+    kept, w, s, d = names, np.array(feature_at), np.array(sentence_at), np.array(sentence_doc)
     weight, bias = np.zeros(len(kept)), START_BIAS
     m, v, mb, vb = np.zeros(len(kept)), np.zeros(len(kept)), 0.0, 0.0
     share = np.where(toxic > 0, 0.5 / toxic.sum(), 0.5 / (len(toxic) - toxic.sum()))
@@ -121,7 +118,6 @@ def fit(texts: list[str | None], toxic: np.ndarray, rounds: int = 300, l2: float
         rate = 0.15 * min(1, 2 * (1 - t / (rounds + 1)))
         weight = np.maximum(0, weight - rate * (m / c) / (np.sqrt(v / e) + 1e-9))
         bias -= rate * (mb / c) / (np.sqrt(vb / e) + 1e-9)
-    names = np.array(list(index), object)[kept]
     return {"": round(bias * 1e6)} | {n: round(x * 1e6) for n, x in zip(names, weight) if x >= LEAST_WEIGHT}
 
 
