@@ -1,8 +1,11 @@
-"""Session builder with the settings every job of this package expects."""
+"""Session builder with the settings every job of this package expects, and tables in the shared folder."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(app: str = "codestrata", master: str | None = None, **conf: str) -> SparkSession:
@@ -19,3 +22,20 @@ def get_session(app: str = "codestrata", master: str | None = None, **conf: str)
     if master:
         builder = builder.master(master)
     return builder.config(map=settings).getOrCreate()
+
+
+def save(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` under ``spark.checkpoint.dir`` and read it back: lineage is cut, and any executor can be lost.
+
+    Where the setting is unset, as in tests on one machine, a folder of our own is used.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = f"file://{tempfile.mkdtemp(prefix='codestrata-')}"
+        spark.conf.set("spark.checkpoint.dir", folder)
+    path = f"{folder}/codestrata/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
