@@ -235,12 +235,19 @@ def group_labels(slim: DataFrame, signed: DataFrame, threshold: float) -> DataFr
     sets_of_keys = banded.groupBy("band").agg(F.collect_set("key").alias("keys")).where(F.size("keys") > 1).select(F.sort_array("keys").alias("keys")).distinct()
     buckets = save(sets_of_keys.select(F.monotonically_increasing_id().alias("bucket"), "keys"), "buckets")
     star = buckets.select(F.col("keys")[0].alias("u"), F.explode("keys").alias("v")).where("u <> v").distinct()
+    # each key with the least of its leaders: enough to unite most copies, with one comparison for each
+    nearest = star.groupBy("v").agg(F.min("u").alias("u")).select("u", "v")
     # one text of each key that is compared
     compared = buckets.select(F.explode("keys").alias("key")).distinct()
     chosen = save(signed.select("row", "key").join(compared, "key").groupBy("key").agg(F.min("row").alias("row")).select(F.col("row").alias("chosen_row"), "key"), "chosen")
     texts = slim.join(chosen, F.col("row") == F.col("chosen_row")).select("key", "text")
     sets = save(shingle_sets(texts).groupBy("key").agg(F.first("shingles").alias("shingles")), "shingles")
-    edges = save(verified(star, sets, threshold), "edges")
+    edges = save(verified(nearest, sets, threshold), "edges")
+    united = components(edges)
+    # then the other leaders of a key, where its group is still another one
+    roots = united.select(F.col("node").alias("u"), F.col("root").alias("ru")), united.select(F.col("node").alias("v"), F.col("root").alias("rv"))
+    apart = star.join(nearest, ["u", "v"], "left_anti").join(roots[0], "u", "left").join(roots[1], "v", "left").where(F.coalesce("ru", "u") != F.coalesce("rv", "v"))
+    edges = edges.unionAll(save(verified(apart.select("u", "v"), sets, threshold), "edges"))
     labels = components(edges)
     # what the stars left apart: pairs of one bucket in different groups
     flat = buckets.select("bucket", F.explode("keys").alias("key"), F.col("keys")[0].alias("leader"))
