@@ -38,6 +38,7 @@ NOTICES = (
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("reserved", "All rights reserved. No part of this publication may be reproduced"),
+    ("reserved-short", "All rights reserved."),
 )
 #: Errors allowed for each so many characters of a notice.
 CHARS_PER_ERROR = 10

@@ -486,6 +486,17 @@ def test_notice_search_odd_input(spark):
     assert [(x.doc_id, x.notice, x.errors) for x in got] == [(None, "MIT", 0), (None, "MIT", 1)] and got[0].matched == "Released under the MIT License."
 
 
+def test_notice_search_finds_the_licence_lines_of_the_documents_table(spark):
+    lines = {
+        "Apache-2.0": "Licensed under the Apache License, Version 2.0.", "MIT": "Released under the MIT License.", "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
+        "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.", "reserved-short": "All rights reserved.",
+    }
+    docs = common.table(spark, "/root/testdata/sf0.01", "documents").cache()
+    found = {(x.doc_id, x.notice) for x in notices.scan_notices(docs).where("errors = 0").collect()}
+    plain = {(d.doc_id, name) for d in docs.where("text is not null").collect() for name, line in lines.items() if line.lower() in d.text.lower()}
+    assert found == plain and {name for _, name in plain} == set(lines)
+
+
 # 10: token counts
 
 
