@@ -179,12 +179,15 @@ EDGES = "e AS (SELECT DISTINCT l_suppkey % 40 AS src, l_partkey % 40 + 20 AS dst
 FANS = f"WITH {EDGES}, f AS (SELECT node, (SELECT count(DISTINCT src) FROM e WHERE dst = node) AS ca, (SELECT count(DISTINCT dst) FROM e WHERE src = node) AS ce FROM n)"
 
 
-def trade_metrics(spark, d) -> DataFrame:
-    edges = parts_sold(spark, d)
+def coupling_of(edges: DataFrame) -> DataFrame:
     nodes = edges.select("project", F.col("src").alias("node")).union(edges.select("project", "dst")).distinct()
     return G.coupling(nodes, edges)
 
 
+def trade_metrics(spark, d) -> DataFrame:
+    return coupling_of(parts_sold(spark, d))
+
+
 @query(f"{FANS} SELECT node, ca, ce, ce::DOUBLE / (ca + ce) AS instability, ca * ce AS hub FROM f")
 def coupling(spark, d):
     return trade_metrics(spark, d).select("node", "ca", "ce", "instability", "hub")
@@ -196,6 +199,33 @@ def coupling_summary(spark, d):
     return G.coupling_summary(trade_metrics(spark, d)).select("modules", F.round("avg_instability", 9).alias("avg_instability"), "median_instability", "stable", "unstable")
 
 
+# the same over whole keys: every supplier and every part is a node of its own
+
+
+def supplied(spark, d) -> DataFrame:
+    key = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
+    pairs = table(spark, d, "lineitem").select(key("s", "l_suppkey").alias("src"), key("p", "l_partkey").alias("dst"))
+    return pairs.dropna().distinct().select(F.lit("trade").alias("project"), "src", "dst")
+
+
+WHOLE_FANS = """WITH e AS (SELECT DISTINCT 's' || l_suppkey AS src, 'p' || l_partkey AS dst FROM lineitem WHERE l_suppkey IS NOT NULL AND l_partkey IS NOT NULL),
+  i AS (SELECT dst AS node, count(DISTINCT src) AS fan FROM e GROUP BY 1), o AS (SELECT src AS node, count(DISTINCT dst) AS fan FROM e GROUP BY 1),
+  f AS (SELECT coalesce(i.node, o.node) AS node, coalesce(i.fan, 0) AS ca, coalesce(o.fan, 0) AS ce FROM i FULL JOIN o ON i.node = o.node)"""
+
+
+@query(f"{WHOLE_FANS} SELECT node, ca, ce, ce::DOUBLE / (ca + ce) AS instability, ca * ce AS hub FROM f")
+def supply_coupling(spark, d):
+    return coupling_of(supplied(spark, d)).select("node", "ca", "ce", "instability", "hub")
+
+
+@query(f"""{WHOLE_FANS}, i2 AS (SELECT *, ce::DOUBLE / (ca + ce) AS x FROM f) SELECT count(*) AS modules, CAST(sum(ca) AS BIGINT) AS edges, max(ca) AS max_ca, max(ce) AS max_ce, round(avg(x), 9) AS avg_instability, median(x) AS median_instability,
+  CAST(sum(CASE WHEN x = 0 AND ca > 0 THEN 1 ELSE 0 END) AS BIGINT) AS stable, CAST(sum(CASE WHEN x = 1 AND ce > 0 THEN 1 ELSE 0 END) AS BIGINT) AS unstable FROM i2""")
+def supply_coupling_summary(spark, d):
+    metrics = coupling_of(supplied(spark, d))
+    fans = metrics.groupBy("project").agg(F.sum("ca").alias("edges"), F.max("ca").alias("max_ca"), F.max("ce").alias("max_ce"))
+    return G.coupling_summary(metrics).join(fans, "project").select("modules", "edges", "max_ca", "max_ce", F.round("avg_instability", 9).alias("avg_instability"), "median_instability", "stable", "unstable")
+
+
 NEXT = "(SELECT p_partkey AS src, p_partkey // 3 AS dst FROM part WHERE p_partkey // 3 > 0)"
 
 

@@ -1,7 +1,9 @@
 """The code engines on small fixtures of our own, and odd input."""
 
 import ast
+import random
 import textwrap
+from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from codestrata.functions import columns as C
 from codestrata.functions import facets
 from codestrata.operators import extract, graph, quality, tabular
+from codestrata.plans import catalogue
 
 
 def found(facet, source, path="pkg/mod.py"):
@@ -158,6 +161,31 @@ def test_cycles_and_impact(spark):
     assert graph.components(edges.limit(0)).count() == 0
 
 
+def test_coupling_is_that_of_brute_force(spark):
+    r = random.Random(3)
+    pairs = {(f"m{r.randrange(60)}", f"m{r.randrange(60)}") for _ in range(400)}
+    edges = spark.createDataFrame([("p", a, b) for a, b in pairs if a != b], "project string, src string, dst string")
+    got = {x.node: (x.ca, x.ce, x.hub, x.instability) for x in catalogue.coupling_of(edges).collect()}
+    for node in {n for a, b in pairs if a != b for n in (a, b)}:
+        ca, ce = len({a for a, b in pairs if b == node != a}), len({b for a, b in pairs if a == node != b})
+        assert got.pop(node) == (ca, ce, ca * ce, ce / (ca + ce))
+    assert got == {}
+
+
+def test_supply_coupling_keeps_every_supplier_and_part_apart(spark, tmp_path):
+    r = random.Random(5)
+    pairs = [(r.randrange(1, 300), r.randrange(1, 900)) for _ in range(3000)]
+    spark.createDataFrame([*pairs, *pairs[:50], (None, 7), (7, None)], "l_suppkey bigint, l_partkey bigint").write.parquet(f"{tmp_path}/lineitem.parquet")
+    parts, suppliers = defaultdict(set), defaultdict(set)
+    for s, p in pairs:
+        parts[f"s{s}"].add(p)
+        suppliers[f"p{p}"].add(s)
+    want = {n: (0, len(x), 1.0) for n, x in parts.items()} | {n: (len(x), 0, 0.0) for n, x in suppliers.items()}
+    assert {x.node: (x.ca, x.ce, x.instability) for x in catalogue.QUERIES["supply_coupling"](spark, str(tmp_path)).collect()} == want
+    row = catalogue.QUERIES["supply_coupling_summary"](spark, str(tmp_path)).first()
+    assert (row.modules, row.edges, row.stable, row.unstable) == (len(want), len(set(pairs)), len(suppliers), len(parts))
+
+
 def test_near_clones_are_those_of_all_pairs(spark):
     texts = ["abcdefghijkl", "abcdefghijkm", "zzzzzzzz", "abcdefgh", "", "abc"]
     blocks = spark.createDataFrame([("p", f"{i}.py", "f", 1, 10, t) for i, t in enumerate(texts)], "project string, path string, name string, start_line int, nodes int, normalized string")
