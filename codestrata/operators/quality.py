@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..session import save
+from . import graph, tabular
 from .extract import facts, lines
 
 
@@ -198,24 +200,40 @@ def health(scores: DataFrame) -> DataFrame:
     return scores.groupBy("project").agg(F.count(F.lit(1)).alias("engines"), F.max("grade").alias("overall_grade"), F.min("score").alias("lowest"), F.avg("score").alias("mean_score"))
 
 
+def import_score(files: DataFrame, imports: DataFrame) -> DataFrame:
+    """Import health of the Python modules of ``files``."""
+    python = F.col("path").endswith(".py")
+    edges = save(graph.edges_of(graph.resolve(files.where(python), imports.where(python))), "imports")
+    nodes = graph.modules(files.where(python)).select("project", F.col("module").alias("node")).distinct()
+    cycles = graph.cycle_members(edges).groupBy("project").agg(F.countDistinct("component").alias("cycles"))
+    return graph.import_health(graph.coupling(nodes, edges), cycles)
+
+
 def all_scores(files: DataFrame, extracted: DataFrame) -> DataFrame:
-    """``project, engine, score, grade`` of every engine that looks at source text; one parse for all."""
+    """``project, engine, score, grade`` of the ten engines of the overall grade; one parse for all.
+
+    Env files among the ``files`` are read for the environment only. A project
+    that has nothing for an engine to look at scores 100.
+    """
     from .extract import rows_of
 
-    table = lambda f: rows_of(extracted, f)
+    env = tabular.is_env_file(F.col("path"))
+    code, kept = files.where(~env), save(extracted.where(~env), "facts")
+    table = lambda f: rows_of(kept, f)
     bugs, security = table("bugs"), table("security")
     parts = {
-        "complexity": complexity_score(files, table("functions")), "bugs": density_score(files, bugs, "bugs"), "security": density_score(files, security, "security"),
+        "complexity": complexity_score(code, table("functions")), "bugs": density_score(code, bugs, "bugs"), "security": density_score(code, security, "security"),
         "naming": naming_score(table("identifiers")), "docstrings": docstring_score(table("entities")), "types": type_score(table("signatures"), table("any_usages"), table("type_ignores")),
-        "debt": debt_score(files), "tests": test_score(table("tests")),
+        "debt": debt_score(code), "tests": test_score(table("tests")), "imports": import_score(code, table("imports")), "environment": tabular.environment_of(files),
     }
-    out = None
+    every, out = files.select("project").distinct(), None
     for engine, part in parts.items():
-        one = part.select("project", F.lit(engine).alias("engine"), "score", "grade")
+        scored = every.join(part.select("project", "score", "grade"), "project", "left").na.fill({"score": 100, "grade": "A"})
+        one = scored.select("project", F.lit(engine).alias("engine"), "score", "grade")
         out = one if out is None else out.unionAll(one)
     return out
 
 
-HEALTH_FACETS = ("functions", "bugs", "security", "identifiers", "entities", "signatures", "any_usages", "type_ignores", "tests")
+HEALTH_FACETS = ("functions", "bugs", "security", "identifiers", "entities", "signatures", "any_usages", "type_ignores", "tests", "imports")
 
 __all__ = [n for n in dir() if not n.startswith("_")] + ["facts"]

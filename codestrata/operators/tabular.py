@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from .extract import lines
 
 # dependencies: deps(project, name, constraint, version, source_file)
 
@@ -45,7 +46,9 @@ def audit_dependencies(deps: DataFrame, latest: DataFrame, advisories: DataFrame
 # environment: defs(project, name, value, file, line, kind), refs(project, name)
 
 
-def environment_findings(defs: DataFrame, refs: DataFrame) -> DataFrame:
+def environment_findings(defs: DataFrame, refs: DataFrame, env_files: DataFrame | None = None) -> DataFrame:
+    """The eight checks; a project of ``refs`` without env files (``env_files(project)``, else those of ``defs``) has ``no_env_files`` alone."""
+    having = (defs if env_files is None else env_files).select("project").distinct()
     used = refs.select("project", "name").distinct()
     names = lambda kind: defs.where(F.col("kind") == kind).select("project", "name").distinct()
     actual, template = names("actual"), names("template")
@@ -56,10 +59,11 @@ def environment_findings(defs: DataFrame, refs: DataFrame) -> DataFrame:
     again = F.row_number().over(Window.partitionBy("project", "file", "name").orderBy("line"))
     secret = F.col("name").rlike(C.SECRET_NAME) & (F.coalesce("value", F.lit("")) != "") & ~F.col("value").rlike(C.PLACEHOLDER_VALUE)
     parts = [
-        finding(used.join(defs.select("project", "name").distinct(), ["project", "name"], "left_anti"), "undefined", "HIGH"),
+        finding(used.select("project").distinct().join(having, "project", "left_anti").withColumn("name", F.lit("*")), "no_env_files", "MODERATE"),
+        finding(used.join(defs.select("project", "name").distinct(), ["project", "name"], "left_anti").join(having, "project", "left_semi"), "undefined", "HIGH"),
         finding(defs.select("project", "name").distinct().join(used, ["project", "name"], "left_anti"), "unused", "LOW"),
         finding(actual.join(template, ["project", "name"], "left_anti").join(used, ["project", "name"], "left_semi"), "missing_template", "MODERATE"),
-        finding(template.join(actual, ["project", "name"], "left_anti").join(used, ["project", "name"], "left_semi"), "missing_actual", "MODERATE"),
+        finding(template.join(actual, ["project", "name"], "left_anti").join(actual.select("project").distinct(), "project", "left_semi"), "missing_actual", "MODERATE"),
         finding(defs.where((F.col("kind") == "template") & secret), "secret_in_template", "HIGH"),
         finding(defs.withColumn("nth", again).where("nth > 1"), "duplicate", "LOW"),
         finding(defs.where((F.col("kind") == "actual") & (F.coalesce("value", F.lit("")) == "")), "empty", "INFO"),
@@ -78,6 +82,53 @@ def environment_score(findings: DataFrame, variables: DataFrame) -> DataFrame:
     return joined.select("project", "variables", "weight", score.alias("score")).withColumn("grade", C.grade(F.col("score"), "environment"))
 
 
+#: The env files of a project's root; those with a word of TEMPLATE in their name are templates.
+ENV_FILES = (".env", *(f".env.{x}" for x in ("local", "development", "production", "staging", "test", "example", "sample", "template", "defaults")))
+TEMPLATE = "example|sample|template|defaults"
+#: Endings of source files, and what refers to a variable in them.
+ENV_REFERENCES = {
+    r"\.py$": (r"""os\.environ(?:\.get)?\s*\[\s*['"](\w+)['"]\s*\]""", r"""os\.environ\.get\s*\(\s*['"](\w+)['"]""", r"""os\.getenv\s*\(\s*['"](\w+)['"]""", r"""(?:config|env)\s*\(\s*['"](\w+)['"]"""),
+    r"\.(?:js|jsx|ts|tsx|mjs|cjs)$": (r"process\.env\.([A-Z_][A-Z0-9_]*)", r"""process\.env\[\s*['"](\w+)['"]\s*\]""", r"import\.meta\.env\.([A-Z_][A-Z0-9_]*)"),
+    r"\.(?:sh|bash|zsh)$": (r"\$\{([A-Za-z_][A-Za-z0-9_]*)\}", r"\$([A-Z_][A-Z0-9_]{2,})"),
+}
+SYSTEM_VARS = (
+    "HOME", "PATH", "USER", "SHELL", "TERM", "LANG", "LC_ALL", "PWD", "OLDPWD", "HOSTNAME", "LOGNAME", "DISPLAY", "EDITOR", "VISUAL", "PAGER", "TMPDIR", "TMP", "TEMP",
+    "XDG_CONFIG_HOME", "XDG_DATA_HOME", "XDG_CACHE_HOME", "CI", "GITHUB_ACTIONS", "VERCEL", "NETLIFY", "HEROKU", "NODE_ENV", "PYTHONPATH", "PYTHONDONTWRITEBYTECODE", "VIRTUAL_ENV", "CONDA_DEFAULT_ENV", "npm_package_version",
+)
+
+
+def is_env_file(path: Column) -> Column:
+    return F.coalesce(path, F.lit("")).isin(*ENV_FILES)
+
+
+def environment_references(files: DataFrame) -> DataFrame:
+    """``project``, ``path``, ``line``, ``name`` of what source text refers to, without comment lines and system variables."""
+    def found(ending: str, pattern: str) -> Column:
+        return F.when(F.lower("path").rlike(ending), F.regexp_extract_all("text", F.lit("(?U)" + pattern), F.lit(1))).otherwise(F.array().cast("array<string>"))
+
+    rows = lines(files).where(~F.col("text").rlike(r"^\s*(?:#|//)"))
+    names = F.flatten(F.array(*(found(ending, p) for ending, patterns in ENV_REFERENCES.items() for p in patterns)))
+    return rows.select("project", "path", "line", F.explode(names).alias("name")).where(~F.col("name").isin(*SYSTEM_VARS))
+
+
+def environment_definitions(files: DataFrame) -> DataFrame:
+    """``project``, ``name``, ``value``, ``file``, ``line``, ``kind`` of the variables of env files."""
+    text = F.regexp_replace(F.regexp_replace("text", r"^\s+|\s+$", ""), r"^export \s*", "")
+    name = F.regexp_extract(text, r"^([A-Za-z_][A-Za-z0-9_]*)\s*(?:=|$)", 1)
+    value = F.regexp_replace(F.regexp_extract(text, r"^[^=]*=\s*(.*)$", 1), r"""^(['"])(.*)\1$""", "$2")
+    kind = F.when(F.col("path").rlike(TEMPLATE), "template").otherwise("actual")
+    return lines(files.where(is_env_file(F.col("path")))).select("project", name.alias("name"), value.alias("value"), F.col("path").alias("file"), "line", kind.alias("kind")).where("name <> ''")
+
+
+def environment_of(files: DataFrame) -> DataFrame:
+    """The score of every project of ``files``; a variable misses in the template only where there is one."""
+    defs, refs = environment_definitions(files), environment_references(files)
+    templates = defs.where("kind = 'template'").select("project").distinct().withColumn("templates", F.lit(True))
+    findings = environment_findings(defs, refs, files.where(is_env_file(F.col("path")))).join(templates, "project", "left").where("check <> 'missing_template' or templates")
+    names = defs.select("project", "name").union(refs.select("project", "name")).groupBy("project").agg(F.countDistinct("name").alias("variables"))
+    return environment_score(findings, files.select("project").distinct().join(names, "project", "left").na.fill(0, ["variables"]))
+
+
 # churn: churn(project, path, commits, added, deleted), complexity(project, path, max_cc)
 
 

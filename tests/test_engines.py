@@ -186,6 +186,28 @@ def test_supply_coupling_keeps_every_supplier_and_part_apart(spark, tmp_path):
     assert (row.modules, row.edges, row.stable, row.unstable) == (len(want), len(set(pairs)), len(suppliers), len(parts))
 
 
+def test_health_covers_imports_and_environment_and_all_ten_engines(spark):
+    source = "'''Reads a setting.'''\nimport os\nfrom {0} import x\nX = os.getenv('API_URL')\n# os.getenv('NOT_THIS')\nH = os.environ['HOME']\n"
+    rows = [("p", "a.py", source.format("b")), ("p", "b.py", source.format("a")), ("q", "m.py", "import os\nX = os.environ['DB']\n"), ("q", ".env", "export DB='x'\nOLD=1\n# NO=1\nEMPTY\n"), ("r", "n.py", "")]
+    given = spark.createDataFrame(rows, extract.FILES)
+    scores = quality.all_scores(given, extract.extract(given, *quality.HEALTH_FACETS))
+    got = {(x.project, x.engine): (x.score, x.grade) for x in scores.collect()}
+    # a cycle 15, instability of one half 7.5, a hub for the only other module 15; and 5 of 10 for having no env files
+    assert got["p", "imports"] == (62, "D") and got["p", "environment"] == (50, "F")
+    # one orphan; two unused variables and an empty one: 5 of 30
+    assert got["q", "imports"] == (80, "B") and got["q", "environment"] == (83, "B")
+    assert got["r", "environment"] == got["r", "tests"] == got["r", "types"] == (100, "A")
+    health = {x.project: x for x in quality.health(scores).collect()}
+    assert {x.engines for x in health.values()} == {10} and health["p"].overall_grade == "F" and health["p"].lowest == 50
+
+
+def test_projects_without_env_files_have_that_finding_alone(spark):
+    defs = spark.createDataFrame([("q", "A", "v", ".env.example", 1, "template"), ("q", "B", "v", ".env", 1, "actual")], "project string, name string, value string, file string, line int, kind string")
+    refs = spark.createDataFrame([("p", "A"), ("p", "B"), ("q", "B"), ("q", "C")], "project string, name string")
+    got = {(x.project, x.check, x.name) for x in tabular.environment_findings(defs, refs).collect()}
+    assert got == {("p", "no_env_files", "*"), ("q", "undefined", "C"), ("q", "unused", "A"), ("q", "missing_template", "B"), ("q", "missing_actual", "A")}
+
+
 def test_near_clones_are_those_of_all_pairs(spark):
     texts = ["abcdefghijkl", "abcdefghijkm", "zzzzzzzz", "abcdefgh", "", "abc"]
     blocks = spark.createDataFrame([("p", f"{i}.py", "f", 1, 10, t) for i, t in enumerate(texts)], "project string, path string, name string, start_line int, nodes int, normalized string")
