@@ -339,6 +339,18 @@ def case_styles(spark, d):
     return table(spark, d, "customer").select("c_custkey", (F.lower(name) == name).alias("snake"), F.lower(name).alias("lowered"))
 
 
+@query(r"""WITH n AS (SELECT 'customer' AS kind, c_custkey AS key, c_name AS name FROM customer UNION ALL SELECT 'part', p_partkey, p_name FROM part),
+b AS (SELECT *, ltrim(name, '_') AS bare, regexp_extract(name, '^_*') AS lead FROM n)
+SELECT kind, key, length(bare) <= 1 OR (name LIKE '\_\_%' ESCAPE '\' AND name LIKE '%\_\_' ESCAPE '\') OR regexp_matches(name, '^_*[a-z][a-z0-9_]*$') AS snake,
+  length(bare) <= 1 OR regexp_matches(name, '^_*[A-Z][a-zA-Z0-9]*$') AS camel,
+  lead || lower(regexp_replace(regexp_replace(bare, '([A-Z])([A-Z][a-z])', '\1_\2', 'g'), '([^A-Z])([A-Z])', '\1_\2', 'g')) AS to_snake,
+  lead || array_to_string(list_transform(list_filter(string_split(bare, '_'), lambda p: p <> ''), lambda p: upper(p[1]) || lower(p[2:])), '') AS to_camel FROM b""")
+def name_styles(spark, d):
+    names = table(spark, d, "customer").select(F.lit("customer").alias("kind"), F.col("c_custkey").alias("key"), F.col("c_name").alias("name"))
+    name, names = F.col("name"), names.union(table(spark, d, "part").select(F.lit("part"), "p_partkey", "p_name"))
+    return names.select("kind", "key", C.is_snake(name).alias("snake"), C.is_camel(name).alias("camel"), C.to_snake(name).alias("to_snake"), C.to_camel(name).alias("to_camel"))
+
+
 @query("""SELECT doc_id, regexp_matches(text, '\\b(?:[0-9]{1,3}\\.){3}[0-9]{1,3}\\b') AS has_address, regexp_matches(text, '(?i)\\btoken\\s*=\\s*"') AS has_secret FROM documents WHERE text IS NOT NULL""")
 def scan_text(spark, d):
     text = F.col("text")

@@ -208,6 +208,13 @@ def test_projects_without_env_files_have_that_finding_alone(spark):
     assert got == {("p", "no_env_files", "*"), ("q", "undefined", "C"), ("q", "unused", "A"), ("q", "missing_template", "B"), ("q", "missing_actual", "A")}
 
 
+def test_name_styles_are_those_of_whole_names(spark, tmp_path):
+    spark.createDataFrame([(1, "a b#1"), (2, "Customer#01"), (3, "get_value")], "c_custkey bigint, c_name string").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(4, "HTTPClient")], "p_partkey bigint, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    got = {x.key: (x.snake, x.camel, x.to_snake, x.to_camel) for x in catalogue.QUERIES["name_styles"](spark, str(tmp_path)).collect()}
+    assert got == {1: (False, False, "a b#1", "A b#1"), 2: (False, False, "customer#01", "Customer#01"), 3: (True, False, "get_value", "GetValue"), 4: (False, True, "http_client", "Httpclient")}
+
+
 def test_near_clones_are_those_of_all_pairs(spark):
     texts = ["abcdefghijkl", "abcdefghijkm", "zzzzzzzz", "abcdefgh", "", "abc"]
     blocks = spark.createDataFrame([("p", f"{i}.py", "f", 1, 10, t) for i, t in enumerate(texts)], "project string, path string, name string, start_line int, nodes int, normalized string")
