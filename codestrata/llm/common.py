@@ -15,6 +15,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -116,25 +118,43 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back, which cuts its lineage."""
-    spark = df.sparkSession
+def own_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed by :func:`release`."""
     path = f"{shared_folder(spark)}/codestrata/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     if not _run_dirs:
         atexit.register(release)
     _run_dirs.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
 
+def save(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back, which cuts its lineage."""
+    path = own_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-def discard(df: DataFrame) -> None:
-    """Remove a table made by :func:`save` that no later step reads."""
-    names = {f.rsplit("/", 2)[-2] for f in df.inputFiles()}
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables made by :func:`save` that no later step reads."""
+    names = {f.rsplit("/", 2)[-2] for df in tables for f in df.inputFiles()}
     for spark, path in [x for x in _run_dirs if x[1].rsplit("/", 1)[-1] in names]:
         _remove(spark, path)
         _run_dirs.remove((spark, path))
 
 
+def saved_paths() -> set[str]:
+    """Paths of the tables that are in the shared folder now."""
+    return {path for _, path in _run_dirs}
+
+
+def discard_but(paths: set[str], *tables: DataFrame) -> None:
+    """Remove every table of this process but those at ``paths`` and ``tables``."""
+    names = {f.rsplit("/", 2)[-2] for df in tables for f in df.inputFiles()}
+    for spark, path in [x for x in _run_dirs if x[1] not in paths and x[1].rsplit("/", 1)[-1] not in names]:
+        _remove(spark, path)
+        _run_dirs.remove((spark, path))
+
+
 def release(spark: SparkSession | None = None) -> None:
     """Remove every table that :func:`save` wrote in this process; call it when no result is needed any more."""
     while _run_dirs:
@@ -156,4 +176,70 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def packed(docs: DataFrame) -> DataFrame:
     """``docs`` with every row as one struct ``doc``, so that no column of its own clashes with an operator's."""
-    return docs.select(F.struct(*docs.columns).alias("doc"))
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
+
+
+#: Rows of a file whose marks are one piece.
+PIECE = 1 << 20
+
+
+def placed(docs: DataFrame) -> DataFrame:
+    """``docs`` packed as ``doc``, with the place where each row is stored: ``piece`` (a run of a file's rows) and ``at`` in it.
+
+    A place stands for its row in later steps, so that they move no text. Only
+    rows of Parquet files have one; any other table is saved first.
+    """
+    if not _from_files(docs._jdf.queryExecution().analyzed()):
+        docs = save(docs, "rows")
+    stored = docs.metadataColumn("_metadata")
+    row, block = stored.getField("row_index"), F.shiftright(stored.getField("row_index"), PIECE.bit_length() - 1)
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.xxhash64(stored.getField("file_path"), block).alias("piece"), row.bitwiseAND(F.lit(PIECE - 1)).cast("int").alias("at"))
+
+
+def _from_files(plan) -> bool:
+    """Whether a plan only selects from the rows of one Parquet table."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "LogicalRelation":
+        return "parquet" in plan.relation().toString().lower()
+    return kind in ("Project", "Filter", "SubqueryAlias") and plan.deterministic() and _from_files(plan.children().head())
+
+
+def marks(decided: DataFrame, name: str):
+    """A function of ``piece`` and ``at`` that gives the ``value`` which ``decided`` has there, or 0.
+
+    ``decided`` (``piece``, ``at``, ``value``) is written to the shared folder,
+    one small file for each piece; a task loads those of the rows it meets. So
+    rows get their marks where they are, without a join.
+    """
+    path = own_path(decided.sparkSession, name)
+    decided.select("piece", F.col("at").cast("int").alias("at"), F.col("value").cast("int").alias("value")).repartition("piece").sortWithinPartitions("piece", "at").write.partitionBy("piece").parquet(path)
+
+    def load(piece: int) -> tuple[np.ndarray, np.ndarray]:
+        fs, root = pyarrow.fs.FileSystem.from_uri(path)
+        if fs.get_file_info(f"{root}/_SUCCESS").type != pyarrow.fs.FileType.File:
+            raise FileNotFoundError(f"{path} is gone")
+        found = [x.path for x in fs.get_file_info(pyarrow.fs.FileSelector(f"{root}/piece={piece}", allow_not_found=True)) if x.path.endswith(".parquet")]
+        parts = [pq.ParquetFile(x, filesystem=fs).read(["at", "value"]) for x in found]
+        at, value = (np.concatenate([np.empty(0, np.int64), *(p.column(c).to_numpy() for p in parts)]).astype(np.int64) for c in ("at", "value"))
+        order = np.argsort(at, kind="stable")
+        return at[order], value[order]
+
+    @F.arrow_udf("int")
+    def value(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for pieces, places in batches:
+            pieces, places = pieces.to_numpy(), places.to_numpy()
+            out = np.zeros(len(pieces), np.int32)
+            for piece in np.unique(pieces).tolist():
+                if piece not in held:
+                    if len(held) >= 4:
+                        held.pop(next(iter(held)))
+                    held[piece] = load(piece)
+                known, values = held[piece]
+                if len(known):
+                    rows = np.flatnonzero(pieces == piece)
+                    i = np.minimum(np.searchsorted(known, places[rows]), len(known) - 1)
+                    out[rows] = np.where(known[i] == places[rows], values[i], 0)
+            yield pa.array(out)
+
+    return value

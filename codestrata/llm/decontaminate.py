@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hash_words, packed, save, starts_of, table, text_chunks
+from .common import discard, discard_but, hash_words, marks, placed, save, saved_paths, starts_of, table, text_chunks
 
 PHRASE = 10
 PROXIMITY_TERMS = 8
@@ -229,13 +229,17 @@ def one_pass(spark: SparkSession, index: DataFrame, benchmark: Benchmark) -> Dat
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, phrase: int = PHRASE) -> DataFrame:
     """The rows of ``docs``, all columns, in which no item matches.
 
-    Rows are told apart by the hash of their text, so null and repeated ids
-    don't matter. The matched hashes are a saved table: the planner knows its
-    size and broadcasts it only where it is small.
+    Matched rows are told by the hash of their text, so null and repeated ids
+    don't matter, and dropped by the place where they are stored.
     """
-    matched = find_matches(docs.select(F.xxhash64(F.col("text").cast("string")).alias("doc_id"), "text"), benchmark, phrase)
+    rows = placed(docs)
+    key, before = F.xxhash64(F.col("doc.text").cast("string")), saved_paths()
+    matched = find_matches(rows.select(key.alias("doc_id"), F.col("doc.text").alias("text")), benchmark, phrase)
     keys = save(matched.select(F.col("doc_id").alias("matched")).distinct(), "contaminated")
-    return packed(docs).join(keys, F.xxhash64(F.col("doc.text").cast("string")) == F.col("matched"), "left_anti").select("doc.*")
+    discard_but(before, keys)
+    dropped = marks(rows.select("piece", "at", key.alias("key")).join(keys, F.col("key") == F.col("matched"), "left_semi").select("piece", "at", F.lit(1).alias("value")), "dropped")
+    discard(keys)
+    return rows.where(dropped(F.col("piece"), F.col("at")) == 0).select("doc.*")
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,10 +14,18 @@ with the others, then all pairs that are not yet in one group; each comparison
 is the exact Jaccard similarity of the shingle sets. Verified pairs are united
 to groups by union-find in each partition and star contraction between them.
 
-Defined results: texts with no word are never grouped. A text with fewer words
-than a shingle is one shingle. Repeated rows are copies of each other; null
-``doc_id`` rows are grouped by their text like others, and sort last as a
-representative. Ties for the representative go to the least ``doc_id``.
+A row is known by the place where it is stored, so what is joined are keys and
+places. Texts of nodes that share a bucket with another are read once more, and
+only their shingle sets are shuffled. Joins between tables that grow with the
+data are merge joins at every size; nothing is broadcast.
+
+Defined results: texts with no word (null, empty) are never grouped, and kept. A
+text with fewer words than a shingle is one shingle; texts of any length are
+taken whole. Repeated rows are copies of each other; null ``doc_id`` rows are
+grouped by their text like others, and sort last as a representative. The
+representative is the row with the least ``doc_id``, on ties the one stored
+first, whatever its other columns hold. An empty table has no group. Columns of
+``docs`` may have any names; only ``doc_id`` and ``text`` are read.
 """
 
 from __future__ import annotations
@@ -26,10 +34,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, hash_words, mix64, packed, save, starts_of, table, text_chunks
+from .common import discard, hash_words, marks, mix64, placed, save, starts_of, table, text_chunks
 
 SHINGLE = 3
 BANDS, ROWS = 40, 4
@@ -111,35 +119,43 @@ def content_keys(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return mix64(sums[starts[1:]] - sums[starts[:-1]] + counts.astype(np.uint64)).view(np.int64)
 
 
-def sign(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """Content ``key`` and band hashes of the rows of ``docs`` that have a word, with their ``doc_id`` and ``row``."""
-    shape = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("key", pa.int64()), ("bands", pa.list_(pa.int64()))])
+def sign(rows: DataFrame, bands: int, per_band: int) -> DataFrame:
+    """Content ``key`` of the ``rows`` that have a word, with the bands of each key at its first row in a task."""
+    shape = pa.schema([("doc_id", pa.int64()), ("piece", pa.int64()), ("at", pa.int32()), ("key", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in text_chunks(batches, 2, 1_000_000):
+        signed: set[int] = set()
+        for part, texts in text_chunks(batches, 3, 1_000_000):
             hashes, counts = hash_words(texts)
             some = np.flatnonzero(counts)
             counts = counts[some]
-            found = band_hashes(super_minhash(*shingles(hashes, counts), bands * rows), bands, rows)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, found.size + 1, bands), pa.int32()), pa.array(found.reshape(-1)))
-            ids = [part.column(i).take(pa.array(some)) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*ids, pa.array(content_keys(hashes, counts)), lists], schema=shape)
+            keys = content_keys(hashes, counts)
+            fresh = np.zeros(len(keys), bool)
+            for i, key in enumerate(keys.tolist()):
+                if key not in signed:
+                    signed.add(key)
+                    fresh[i] = True
+            own = hashes[np.repeat(fresh, counts)]
+            found = band_hashes(super_minhash(*shingles(own, counts[fresh]), bands * per_band), bands, per_band)
+            cut = pa.array(np.where(np.append(fresh, True), starts_of(fresh * bands), 0), pa.int32(), mask=~np.append(fresh, True))
+            lists = pa.ListArray.from_arrays(cut, pa.array(found.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([*(part.column(i).take(pa.array(some)) for i in range(3)), pa.array(keys), lists], schema=shape)
 
-    return docs.select("doc_id", "row", "text").mapInArrow(kernel, "doc_id bigint, row bigint, key bigint, bands array<bigint>")
+    return rows.select("doc_id", "piece", "at", "text").mapInArrow(kernel, "doc_id bigint, piece bigint, at int, key bigint, bands array<bigint>")
 
 
-def shingle_sets(docs: DataFrame) -> DataFrame:
-    """``key`` and the sorted distinct shingle hashes, as binary, of the rows of ``docs``."""
+def shingle_sets(texts: DataFrame) -> DataFrame:
+    """``key`` and the sorted distinct shingle hashes, as binary, of each of the ``texts``, which have words."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in text_chunks(batches):
-            hashes, counts = hash_words(texts)
+        for _, own in text_chunks(batches, 0):
+            hashes, counts = hash_words(own)
             value, n = shingles(hashes, counts)
             at = starts_of(n)
             sets = [np.unique(value[a:b]).tobytes() for a, b in zip(at[:-1], at[1:])]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["key", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(content_keys(hashes, counts)), pa.array(sets, pa.binary())], names=["key", "shingles"])
 
-    return docs.select("key", "text").mapInArrow(kernel, "key bigint, shingles binary")
+    return texts.select("text").mapInArrow(kernel, "key bigint, shingles binary")
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -162,7 +178,7 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     a, b = (sets.select(F.col("key").alias(k), F.col("shingles").alias(f"s{k}")) for k in "uv")
-    return pairs.join(a, "u").join(b, "v").select("u", "v", "su", "sv").mapInArrow(kernel, "u bigint, v bigint")
+    return pairs.hint("merge").join(a, "u").hint("merge").join(b, "v").select("u", "v", "su", "sv").mapInArrow(kernel, "u bigint, v bigint")
 
 
 def local_forest(edges: DataFrame) -> DataFrame:
@@ -220,71 +236,79 @@ def fingerprint(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def labelled(docs: DataFrame, threshold: float, bands: int, rows: int) -> DataFrame:
-    """``doc_id``, ``row`` (a hash of the text) and ``root`` of the rows of ``docs`` that are in a group of two or more."""
-    slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).select("doc_id", F.xxhash64("text").alias("row"), "text")
-    signed = save(sign(slim, bands, rows), "signed")
+def members(rows: DataFrame, threshold: float, bands: int, per_band: int) -> DataFrame:
+    """``doc_id``, ``piece``, ``at`` and ``root`` of the rows that are in a group of two or more; a saved table."""
+    slim = rows.select(F.col("doc.doc_id").cast("bigint").alias("doc_id"), "piece", "at", F.col("doc.text").cast("string").alias("text"))
+    signed = save(sign(slim, bands, per_band), "signed")
     labels = group_labels(slim, signed, threshold)
-    members = signed.select("doc_id", "row", "key").join(labels, F.col("key") == F.col("node"), "left").select("doc_id", "row", F.coalesce("root", "key").alias("root"))
-    return save(members.join(members.groupBy("root").count().where("count > 1"), "root").select("doc_id", "row", "root"), "members")
+    every = signed.select("doc_id", "piece", "at", "key").hint("merge").join(labels, F.col("key") == F.col("node"), "left").select("doc_id", "piece", "at", F.coalesce("root", "key").alias("root"))
+    found = save(every.hint("merge").join(every.groupBy("root").count().where("count > 1").select("root"), "root").select("doc_id", "piece", "at", "root"), "members")
+    discard(signed, labels)
+    return found
 
 
 def group_labels(slim: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
-    """``node`` (a content key) and the ``root`` of its group, for keys that are united with a smaller one."""
-    banded = signed.select("key", F.explode("bands").alias("band"))
-    sets_of_keys = banded.groupBy("band").agg(F.collect_set("key").alias("keys")).where(F.size("keys") > 1).select(F.sort_array("keys").alias("keys")).distinct()
-    buckets = save(sets_of_keys.select(F.monotonically_increasing_id().alias("bucket"), "keys"), "buckets")
-    star = buckets.select(F.col("keys")[0].alias("u"), F.explode("keys").alias("v")).where("u <> v").distinct()
+    """``node`` (a content key) and the ``root`` of its group, for keys that are united with a smaller one; a saved table."""
+    banded = signed.where("bands is not null").select("key", F.explode("bands").alias("band"))
+    # the leader of a bucket is its least key: found by partial aggregates, so that no bucket meets in one task
+    leaders = save(banded.groupBy("band").agg(F.min("key").alias("leader"), F.max("key").alias("last")).where("leader < last").select("band", "leader"), "leaders")
+    buckets = save(banded.hint("merge").join(leaders, "band").select("band", "leader", "key").distinct(), "buckets")
+    discard(leaders)
+    star = save(buckets.where("leader <> key").select(F.col("leader").alias("u"), F.col("key").alias("v")).distinct(), "star")
+    sets = save(shingle_sets(chosen_texts(slim, signed, buckets.select("key").distinct())), "shingles")
     # each key with the least of its leaders: enough to unite most copies, with one comparison for each
     nearest = star.groupBy("v").agg(F.min("u").alias("u")).select("u", "v")
-    # one text of each key that is compared
-    compared = buckets.select(F.explode("keys").alias("key")).distinct()
-    chosen = save(signed.select("row", "key").join(compared, "key").groupBy("key").agg(F.min("row").alias("row")).select(F.col("row").alias("chosen_row"), "key"), "chosen")
-    texts = slim.join(chosen, F.col("row") == F.col("chosen_row")).select("key", "text")
-    sets = save(shingle_sets(texts).groupBy("key").agg(F.first("shingles").alias("shingles")), "shingles")
-    edges = save(verified(nearest, sets, threshold), "edges")
-    united = components(edges)
+    edges = [save(verified(nearest, sets, threshold), "edges")]
+    united = components(edges[0])
     # then the other leaders of a key, where its group is still another one
     roots = united.select(F.col("node").alias("u"), F.col("root").alias("ru")), united.select(F.col("node").alias("v"), F.col("root").alias("rv"))
-    apart = star.join(nearest, ["u", "v"], "left_anti").join(roots[0], "u", "left").join(roots[1], "v", "left").where(F.coalesce("ru", "u") != F.coalesce("rv", "v"))
-    edges = edges.unionAll(save(verified(apart.select("u", "v"), sets, threshold), "edges"))
-    labels = components(edges)
+    others = star.hint("merge").join(nearest, ["u", "v"], "left_anti").hint("merge").join(roots[0], "u", "left").hint("merge").join(roots[1], "v", "left")
+    edges.append(save(verified(others.where(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v"), sets, threshold), "edges"))
+    discard(star, united)
+    united = components(edges[0].unionAll(edges[1]))
     # what the stars left apart: pairs of one bucket in different groups
-    flat = buckets.select("bucket", F.explode("keys").alias("key"), F.col("keys")[0].alias("leader"))
-    flat = flat.join(labels, F.col("key") == F.col("node"), "left").select("bucket", "key", "leader", F.coalesce("root", "key").alias("root"))
-    mixed = flat.groupBy("bucket").agg(F.countDistinct("root").alias("n"), F.collect_list(F.struct("root", "key")).alias("all"), F.first("leader").alias("leader")).where("n > 1")
-    one = mixed.select("leader", "all", F.explode("all").alias("a")).where("a.key <> leader")
-    rest = one.select(F.col("a.key").alias("u"), F.explode(F.filter("all", lambda b: (b["root"] != F.col("a.root")) & (b["key"] > F.col("a.key")))["key"]).alias("v")).distinct()
-    more = save(verified(rest, sets, threshold), "edges")
-    return components(edges.unionAll(more))
+    flat = buckets.hint("merge").join(united, F.col("key") == F.col("node"), "left").select("band", "leader", "key", F.coalesce("root", "key").alias("root"))
+    mixed = flat.groupBy("band").agg(F.min("root").alias("first"), F.max("root").alias("last")).where("first < last").select("band")
+    apart = save(flat.where("key <> leader").hint("merge").join(mixed, "band").select("band", "key", "root"), "apart")
+    a, b = apart.select("band", F.col("key").alias("u"), F.col("root").alias("ru")), apart.select("band", F.col("key").alias("v"), F.col("root").alias("rv"))
+    rest = a.hint("merge").join(b, "band").where("u < v and ru <> rv").select("u", "v").distinct()
+    edges.append(save(verified(rest, sets, threshold), "edges"))
+    discard(buckets, apart, sets, united)
+    labels = components(edges[0].unionAll(edges[1]).unionAll(edges[2]))
+    discard(*edges)
+    return labels
+
+
+def chosen_texts(slim: DataFrame, signed: DataFrame, keys: DataFrame) -> DataFrame:
+    """``text`` of one row for each of the ``keys``, read where it is stored."""
+    rows = signed.where("bands is not null").select("key", F.struct("piece", "at").alias("place")).hint("merge").join(keys, "key")
+    first = rows.groupBy("key").agg(F.min("place").alias("place")).select("place.piece", "place.at", F.lit(1).alias("value"))
+    wanted = marks(first, "chosen")
+    return slim.where(wanted(F.col("piece"), F.col("at")) == 1).select("text")
+
+
+def representatives(found: DataFrame) -> DataFrame:
+    """Each group's ``root``, ``group_size`` and first row: its ``group_id`` (the least ``doc_id``), ``piece`` and ``at``."""
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "piece", "at")
+    groups = found.groupBy("root").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("group_size"))
+    return groups.select("root", F.col("first.doc_id").alias("group_id"), "group_size", F.col("first.piece").alias("first_piece"), F.col("first.at").alias("first_at"))
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """``doc_id``, ``group_id`` (its least ``doc_id``), ``group_size`` and ``is_representative`` for each row in a group of two or more."""
-    members = labelled(docs, threshold, bands, rows)
-    groups = members.groupBy("root").agg(F.min("doc_id").alias("group_id"), F.count(F.lit(1)).alias("group_size"))
-    first = Window.partitionBy("root").orderBy(F.col("doc_id").asc_nulls_last(), "row")
-    return members.withColumn("rank", F.row_number().over(first)).join(groups, "root").select("doc_id", "group_id", "group_size", (F.col("rank") == 1).alias("is_representative"))
+    found = members(placed(docs), threshold, bands, rows)
+    own = (F.col("piece") == F.col("first_piece")) & (F.col("at") == F.col("first_at"))
+    return found.hint("merge").join(representatives(found), "root").select("doc_id", "group_id", "group_size", own.alias("is_representative"))
 
 
 def keep_representatives(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """The rows of ``docs``, all columns, that are in no group, and one row of each group.
-
-    The dropped (id, text hash) pairs are a saved table whose size the planner
-    knows. Only representatives that are themselves repeated need their copies
-    removed.
-    """
-    members = labelled(docs, threshold, bands, rows)
-    distinct = members.groupBy("doc_id", "row").agg(F.first("root").alias("root"), F.count(F.lit(1)).alias("copies"))
-    first = Window.partitionBy("root").orderBy(F.col("doc_id").asc_nulls_last(), "row")
-    ranked = distinct.withColumn("rank", F.row_number().over(first))
-    single = (F.col("rank") == 1) & (F.col("copies") == 1)
-    dropped = save(ranked.where(~single).select("doc_id", "row"), "dropped")
-    repeated = save(ranked.where("rank = 1 and copies > 1").select("doc_id", "row"), "repeated")
-    rows = packed(docs)
-    same = F.xxhash64(F.col("doc.text").cast("string")).eqNullSafe(F.col("row")) & F.col("doc.doc_id").cast("bigint").eqNullSafe(F.col("doc_id"))
-    once = rows.join(repeated, same).dropDuplicates(["doc_id", "row"]).select("doc.*")
-    return rows.join(dropped, same, "left_anti").select("doc.*").unionAll(once)
+    """The rows of ``docs``, all columns, that are in no group, and one row of each group."""
+    stored = placed(docs)
+    found = members(stored, threshold, bands, rows)
+    other = (F.col("piece") != F.col("first_piece")) | (F.col("at") != F.col("first_at"))
+    dropped = marks(found.hint("merge").join(representatives(found), "root").where(other).select("piece", "at", F.lit(1).alias("value")), "dropped")
+    discard(found)
+    return stored.where(dropped(F.col("piece"), F.col("at")) == 0).select("doc.*")
 
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

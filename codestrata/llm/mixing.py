@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import packed, save, table
+from .common import discard, marks, placed, save, table
 
 #: Quality weights of good, unlabelled and bad documents.
 GOOD, UNKNOWN, BAD = 1.0, 0.5, 0.25
@@ -69,7 +69,9 @@ def cuts(keyed: DataFrame, alpha: float = ALPHA, budget: float = BUDGET) -> Data
     # a null id sorts first in both: no id is below it
     last = fits.groupBy(F.col("s2").alias("s3")).agg(F.max(F.struct(F.col("key"), F.col("doc_id"))).alias("cut"))
     # rows of buckets before the last are in; those of the last one up to the cut
-    return save(ending.join(last, F.col("s").eqNullSafe(F.col("s3")), "left").select(F.col("s").alias("of"), "epochs", "last", "cut"), "cuts")
+    found = save(ending.join(last, F.col("s").eqNullSafe(F.col("s3")), "left").select(F.col("s").alias("of"), "epochs", "last", "cut"), "cuts")
+    discard(totals, ending)
+    return found
 
 
 def with_copies(keyed: DataFrame, cut: DataFrame) -> DataFrame:
@@ -87,10 +89,17 @@ def select_documents(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, b
 
 
 def mix(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, budget: float = BUDGET) -> DataFrame:
-    """The rows of ``docs``, all columns, each as often as it is selected."""
-    slim = save(with_keys(docs.select("doc_id", "source", tokens(F.col("text")).alias("n_tokens")), labels), "keys")
-    rows = with_keys(packed(docs).select("doc", F.col("doc.doc_id").alias("doc_id"), F.col("doc.source").alias("source")), labels)
-    chosen = with_copies(rows, cuts(slim, alpha, budget)).where("copies > 0")
+    """The rows of ``docs``, all columns, each as often as it is selected.
+
+    Keys, labels and budgets are joined over places of rows; the texts stay
+    where they are until each gets its number of copies.
+    """
+    rows = placed(docs)
+    slim = save(with_keys(rows.select("piece", "at", F.col("doc.doc_id").alias("doc_id"), F.col("doc.source").alias("source"), tokens(F.col("doc.text")).alias("n_tokens")), labels), "keys")
+    cut = cuts(slim, alpha, budget)
+    copies = marks(with_copies(slim, cut).where("copies > 0").select("piece", "at", F.col("copies").alias("value")), "copies")
+    discard(slim, cut)
+    chosen = rows.select("doc", copies(F.col("piece"), F.col("at")).alias("copies")).where("copies > 0")
     return chosen.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")
 
 
