@@ -1,11 +1,20 @@
-"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again by the next."""
+"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again by the next.
+
+Defined results, for every stage: null and empty texts, null ids and repeated
+rows are rows like others; a null or empty text is neither toxic, nor a near
+duplicate, nor contaminated, has 0 tokens, and ends as a record of 0 ids. Texts
+of any length are taken whole. Ties go to the row stored first (near
+duplicates) or are taken together (mixing). An empty table gives empty stages.
+All columns of ``documents``, whatever their names, pass through every stage but
+the last; only ``doc_id``, ``text`` and ``source`` are read.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from codestrata.llm import decontaminate, minhash, mixing, token_binary, toxicity
-from codestrata.llm.common import save, table
+from codestrata.llm.common import discard_but, save, saved_paths, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,8 +54,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's records; what comes before it is saved in the shared folder, stage by stage."""
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's records; what comes before it is saved in the shared folder, one stage's table at a time."""
+    docs, before = table(spark, sf_dir, "documents"), saved_paths()
     for name, stage in STAGES[:-1]:
         docs = save(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        discard_but(before, docs)
     return STAGES[-1][1](spark, docs, sf_dir)
