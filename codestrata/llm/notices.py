@@ -10,8 +10,10 @@ look for, verifies the edits and gives the span. Case is ignored.
 
 Defined results: one row for each notice and place, overlapping matches of one
 notice reduced to the one with the fewest errors (then the leftmost). A null or
-empty text has none. A null ``doc_id`` is reported as null. Repeated rows give
-repeated results. Very long texts are searched whole, piece by piece in place.
+empty text has none, and an empty table gives no row. A null ``doc_id`` is
+reported as null. Repeated rows give repeated results. Very long texts are
+searched whole, however many notices they hold. Only ``doc_id`` and ``text`` are
+read, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -68,21 +71,21 @@ class Wording:
             self.patterns[errors] = regex.compile(f"(?:{regex.escape(self.text)}){{e<={errors}}}", regex.BESTMATCH)
         return self.patterns[errors]
 
-    def fewest_errors(self, window: str) -> int:
-        """The least edit distance of the notice to any substring (Myers' bit vectors)."""
+    def distances(self, window: str) -> np.ndarray:
+        """For each place of the window, the least edit distance of the notice to a substring that ends there (Myers' bit vectors)."""
         size = len(self.text)
         full, top = (1 << size) - 1, 1 << (size - 1)
-        plus, minus, distance, least, get = full, 0, size, size, self.masks.get
+        plus, minus, distance, get, out = full, 0, size, self.masks.get, []
         for char in window:
             eq = get(char, 0)
             x = eq | minus
             diagonal = (((x & plus) + plus) ^ plus) | x
             up, down = minus | ~(diagonal | plus) & full, plus & diagonal
             distance += bool(up & top) - bool(down & top)
-            least = min(least, distance)
+            out.append(distance)
             up, down = up << 1 & full, down << 1 & full
             plus, minus = down | ~(diagonal | up) & full, up & diagonal
-        return least
+        return np.array(out, np.int64)
 
 
 class Scanner:
@@ -122,19 +125,25 @@ class Scanner:
 
 
 def best_matches(plan: Wording, low: str, a: int, b: int) -> list[tuple[int, int, int]]:
-    """Non-overlapping matches in ``low[a:b]``: the one with the fewest errors, leftmost on ties, then those on either side."""
-    if b - a < len(plan.text) - plan.errors:
-        return []
-    at = low.find(plan.text, a, b)
-    if at >= 0:  # no errors: nothing can be better
-        start, end, edits = at, at + len(plan.text), 0
-    else:
-        least = plan.fewest_errors(low[a:b])
-        m = plan.pattern(least).search(low, a, b) if least <= plan.errors else None
-        if not m:
-            return []
-        start, end, edits = m.start(), m.end(), sum(m.fuzzy_counts)
-    return [*best_matches(plan, low, a, start), (start, end, edits), *best_matches(plan, low, end, b)]
+    """Non-overlapping matches in ``low[a:b]``: the one with the fewest errors, leftmost on ties, then those on either side.
+
+    Distances are computed once. After a match, only those of the few ends
+    that a substring from before it can reach are computed again.
+    """
+    reach, ends, out, left = len(plan.text) + plan.errors, plan.distances(low[a:b]), [], [(a, b)]
+    while left:
+        x, y = left.pop()
+        own = ends[x - a : y - a]
+        if not len(own) or (edits := int(own.min())) > plan.errors:
+            continue
+        # the leftmost match ends this far after the first end with so few errors, at most
+        end = x + int(own.argmin()) + 1
+        m = plan.pattern(edits).search(low, max(x, end - reach), min(y, end + reach))
+        out.append((m.start(), m.end(), sum(m.fuzzy_counts)))
+        left += [(x, m.start()), (m.end(), y)]
+        again = min(y, m.end() + reach)
+        ends[m.end() - a : again - a] = plan.distances(low[m.end() : again])
+    return sorted(out)
 
 
 def scan_notices(docs: DataFrame, notices: tuple[tuple[str, str], ...] = NOTICES, chars_per_error: int = CHARS_PER_ERROR) -> DataFrame:
