@@ -1,7 +1,7 @@
 """Benchmark decontamination over a distributed positional inverted index.
 
 The index is partitioned by document, like the segments of a text search
-engine: every row is a segment of some megabytes of text with its sorted terms
+engine: every row is a segment of about a megabyte of text with its sorted terms
 and, for each term, the positions at which it stands. So building it moves
 nothing between executors, and lists are intersected inside a segment. It is a
 table in the shared folder; queries read the columns they need from it.
@@ -11,15 +11,18 @@ A query is a benchmark item. Its phrases are all runs of ``PHRASE`` of its words
 term, by document frequency over the whole corpus: the term's list, moved back
 by the term's place in the phrase, is intersected with the moved lists of the
 other terms in order of rarity until nothing is left. An item also matches by
-proximity where its ``PROXIMITY_TERMS`` rarest distinct terms stand, in any
-order, within half its length more than the item's own length of a posting of
-the rarest one.
+proximity where all its distinct terms stand, in any order, in a run of words of
+one document that is at most half as long again as the item; the postings of the
+rarest term are the places looked at.
 
 Defined results: one row for each run of consecutive phrase matches (``phrase``)
-and for the tightest place of each document and item (``proximity``, the first
-on ties). Words are those of ``common.words``; positions count from 0, ends are
-exclusive. Null or empty texts and items match nothing; a null ``doc_id`` or
-``item_id`` is reported as null; every repeated row is reported.
+and for the shortest such run of words of each document and item (``proximity``,
+the first on ties). Words are those of ``common.words``; positions count from 0,
+ends are exclusive. Null or empty texts and items match nothing, and an empty
+table on either side gives no row; a null ``doc_id`` or ``item_id`` is reported
+as null; every repeated row is reported. A text of any length is one document of
+one segment. Only ``doc_id``, ``item_id`` and ``text`` are read, so other
+columns may have any names.
 """
 
 from __future__ import annotations
@@ -36,7 +39,6 @@ from pyspark.sql import functions as F
 from .common import discard, discard_but, hash_words, marks, placed, save, saved_paths, starts_of, table, text_chunks
 
 PHRASE = 10
-PROXIMITY_TERMS = 8
 #: Benchmark words handled in one pass over the index; a larger benchmark takes more passes.
 PASS_WORDS = 4_000_000
 
@@ -65,7 +67,7 @@ def build_index(docs: DataFrame) -> DataFrame:
     """The positional index of ``docs`` as a table in the shared folder."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in text_chunks(batches):
+        for part, texts in text_chunks(batches, most=1_000_000):
             row = segment(part.column(0).to_pylist(), texts)
             yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, INDEX_SHAPE)], schema=INDEX_SHAPE)
 
@@ -98,7 +100,7 @@ class Benchmark:
         self.rarest = []
         for _, terms in self.items:
             distinct = np.unique(terms)
-            self.rarest.append(distinct[np.argsort(self.rarity[distinct], kind="stable")][:PROXIMITY_TERMS])
+            self.rarest.append(distinct[np.argsort(self.rarity[distinct], kind="stable")])
 
 
 def among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
@@ -108,11 +110,21 @@ def among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return ordered[at] == values
 
 
-def nearest(ordered: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """For each place the closest entry of the sorted array, the lower one on ties."""
-    at = np.searchsorted(ordered, places)
-    low, high = ordered[np.maximum(at - 1, 0)], ordered[np.minimum(at, len(ordered) - 1)]
-    return np.where(np.abs(places - low) <= np.abs(high - places), low, high)
+def shortest_cover(lists: list[np.ndarray]) -> tuple[int, int]:
+    """The shortest span (first one on ties) with an entry of each of the sorted lists, its end exclusive."""
+    places, kinds = np.concatenate(lists), np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    order = np.argsort(places, kind="stable")
+    places, kinds = places[order].tolist(), kinds[order].tolist()
+    held, missing, left, best = [0] * len(lists), len(lists), 0, (1 << 60, 0)
+    for place, kind in zip(places, kinds):
+        missing -= not held[kind]
+        held[kind] += 1
+        while held[kinds[left]] > 1:
+            held[kinds[left]] -= 1
+            left += 1
+        if not missing:
+            best = min(best, (place + 1 - places[left], places[left]))
+    return best[1], best[1] + best[0]
 
 
 def look_up(benchmark: Benchmark, doc_ids: list, terms: np.ndarray, starts: np.ndarray, doc_starts: np.ndarray, positions: np.ndarray) -> list[tuple]:
@@ -159,19 +171,18 @@ def look_up(benchmark: Benchmark, doc_ids: list, terms: np.ndarray, starts: np.n
     for k, own in enumerate(benchmark.rarest):
         if present[own].all():
             places = postings(int(own[0]))
-            docs = doc_of(places)
-            reach = len(benchmark.items[k][1]) * 3 // 2
-            low, high, good = places.copy(), places.copy(), np.ones(len(places), bool)
+            docs, widest = doc_of(places), len(benchmark.items[k][1]) * 3 // 2
             for term in own[1:].tolist():
-                close = nearest(postings(term), places)
-                good &= (np.abs(close - places) <= reach) & (doc_of(close) == docs)
-                if not good.any():
+                from_, to = np.maximum(places - widest + 1, doc_starts[docs]), np.minimum(places + widest, doc_starts[docs + 1])
+                close = np.searchsorted(postings(term), from_) < np.searchsorted(postings(term), to)
+                places, docs = places[close], docs[close]
+                if not len(places):
                     break
-                low, high = np.minimum(low, close), np.maximum(high, close)
-            best: dict[int, tuple[int, int]] = {}
-            for a, b, doc in zip(low[good].tolist(), high[good].tolist(), docs[good].tolist()):
-                best[doc] = min(best.get(doc, (1 << 60, 0)), (b - a, a))
-            out += [(doc_ids[doc], benchmark.items[k][0], "proximity", a - int(doc_starts[doc]), a + size + 1 - int(doc_starts[doc]), len(own)) for doc, (size, a) in sorted(best.items())]
+            for doc in np.unique(docs).tolist():
+                base, end = int(doc_starts[doc]), int(doc_starts[doc + 1])
+                a, b = shortest_cover([x[np.searchsorted(x, base) : np.searchsorted(x, end)] for x in map(postings, own.tolist())])
+                if b - a <= widest:
+                    out.append((doc_ids[doc], benchmark.items[k][0], "proximity", a - base, b - base, len(own)))
     return out
 
 

@@ -94,6 +94,34 @@ def test_decontamination_proximity(spark):
     assert {(x.doc_id, x.kind) for x in found} == {(0, "proximity")}
 
 
+def brute_proximity(docs, items):
+    out = set()
+    for (d, text), (i, item) in itertools.product(docs, items):
+        words, terms = common.words(text), common.words(item)
+        found = []
+        for a in range(len(words)):
+            missing = set(terms)
+            for b in range(a, min(len(words), a + len(terms) * 3 // 2)):
+                missing.discard(words[b])
+                if terms and not missing:
+                    found.append((b + 1 - a, a))
+                    break
+        if found:
+            out.add((d, i, min(found)[1], sum(min(found))))
+    return out
+
+
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_decontamination_proximity_is_that_of_brute_force_under_any_partitioning(spark, parts):
+    r = random.Random(8)
+    items = [(i, " ".join(f"t{r.randrange(9)}" for _ in range(r.randrange(1, 12)))) for i in range(12)]
+    texts = [" ".join(f"t{r.randrange(14)}" for _ in range(r.randrange(0, 30))) for _ in range(60)]
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    found = decontaminate.find_matches(documents(spark, texts).repartition(parts), benchmark).where("kind = 'proximity'").collect()
+    assert {(x.doc_id, x.item_id, x.start_word, x.end_word) for x in found} == brute_proximity(list(enumerate(texts)), items)
+    assert found
+
+
 def test_decontamination_odd_input(spark):
     docs = odd_documents(spark)
     benchmark = spark.createDataFrame([(None, "twice the same row here"), (2, None)], "item_id bigint, text string")
@@ -472,7 +500,7 @@ def test_notice_search_finds_every_text_that_brute_force_finds(spark):
     for i, text in enumerate(texts):
         for plan in scanner.plans:
             least = sellers(plan.text, text.lower())
-            assert least == plan.fewest_errors(text.lower())
+            assert least == plan.distances(text.lower()).min()
             assert ((i, plan.name) in found) == (least <= plan.errors)
             if least <= plan.errors:
                 assert min(found[i, plan.name]) == least
@@ -486,6 +514,13 @@ def test_notice_search_odd_input(spark):
     assert [(x.doc_id, x.notice, x.errors) for x in got] == [(None, "MIT", 0), (None, "MIT", 1)] and got[0].matched == "Released under the MIT License."
 
 
+def test_notice_search_in_a_text_full_of_notices(spark):
+    exact, near = "Released under the MIT License. ", "Released under teh MIT License. "
+    texts = [exact * 5000, near * 5000, (exact + near) * 700]
+    found = notices.scan_notices(documents(spark, texts)).where("notice = 'MIT'").groupBy("doc_id", "errors").count().collect()
+    assert {(x.doc_id, x.errors): x["count"] for x in found} == {(0, 0): 5000, (1, 2): 5000, (2, 0): 700, (2, 2): 700}
+
+
 def test_notice_search_finds_the_licence_lines_of_the_documents_table(spark):
     lines = {
         "Apache-2.0": "Licensed under the Apache License, Version 2.0.", "MIT": "Released under the MIT License.", "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
