@@ -7,6 +7,7 @@ text. A null text counts as an empty one everywhere.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
 import tempfile
 import uuid
@@ -23,7 +24,10 @@ from pyspark.sql import functions as F
 WORD = re.compile(r"\w+")
 NO_WORD = re.compile(r"[^\w \n]+")
 #: Bytes of text handled at once in a kernel.
-CHUNK_BYTES = 4_000_000
+CHUNK_BYTES = 2_000_000
+
+#: Bounds on what an executor and its Python workers exchange at once, set where the session leaves them at their defaults.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
 
 _run_dirs: list[tuple[SparkSession, str]] = []
 
@@ -99,6 +103,14 @@ def byte_chunks(batches: Iterator[pa.RecordBatch], column: int = 1, most: int =
             to = max(at + 1, int(np.searchsorted(ends, base + most, "right")))
             yield batch.slice(at, to - at)
             at = to
+    give_back()
+
+
+def give_back() -> None:
+    """Return a worker's freed memory to the system: workers stay for later tasks, and several share an executor."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def text_chunks(batches: Iterator[pa.RecordBatch], column: int = 1, most: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list]]:
@@ -118,8 +130,15 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Batches of some megabytes, as texts are long: a default one of 10,000 rows can hold most of a worker's memory."""
+    for key in BATCHES.keys() - spark.conf.getAll.keys():
+        spark.conf.set(key, BATCHES[key])
+
+
 def own_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, removed by :func:`release`."""
+    bound_batches(spark)
     path = f"{shared_folder(spark)}/codestrata/{name}-{uuid.uuid4().hex}"
     if not _run_dirs:
         atexit.register(release)
@@ -171,6 +190,7 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -241,5 +261,7 @@ def marks(decided: DataFrame, name: str):
                     i = np.minimum(np.searchsorted(known, places[rows]), len(known) - 1)
                     out[rows] = np.where(known[i] == places[rows], values[i], 0)
             yield pa.array(out)
+        held.clear()
+        give_back()
 
     return value

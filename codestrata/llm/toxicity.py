@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, fold, table, text_chunks
+from .common import WORD, fold, give_back, table, text_chunks
 
 SENTENCE = re.compile(r"[^.!?\n]+")
 #: Bound on the labelled documents a model is fitted on, half of each class.
@@ -42,8 +42,8 @@ START_BIAS = -8.0
 LEAST_WEIGHT = 0.5
 #: Lengths of the beginnings that stand for a word's stem.
 STEMS = (4, 5)
-#: Words without a weight that a worker remembers; results don't depend on it.
-MEMO_WORDS = 1_000_000
+#: Characters of words without a weight that a worker remembers; results don't depend on it.
+MEMO_CHARS = 3_000_000
 
 SPANS = "doc_id bigint, doc_score double, sentence int, start_char int, end_char int, sentence_score double"
 
@@ -136,6 +136,7 @@ class Scorer:
         self.model, self.bias = model, model.get("", 0)
         self.weights: dict[str, int] = {}
         self.none: set[str] = set()
+        self.held = 0
 
     def weight(self, word: str) -> int:
         found = self.weights.get(word)
@@ -145,14 +146,17 @@ class Scorer:
                 self.weights[word] = found
             else:
                 self.none.add(word)
+                self.held += len(word)
         return found
 
     def score(self, text: str | None) -> tuple[float, list[tuple[int, int, float, int]]]:
         """The noisy-or probability of a text, and (start, end, probability, number) of each sentence with a weighted word."""
         if not self.model or not text:
             return 0.0, []
-        if len(self.none) > MEMO_WORDS:
+        if self.held > MEMO_CHARS:
             self.none.clear()
+            self.weights.clear()
+            self.held = 0
         low, none, spans, z = fold(text), self.none, [], []
         if not any(map(self.weight, set(WORD.findall(low)) - none)):
             return 0.0, []
@@ -198,6 +202,8 @@ def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
         scorer = Scorer(shared.value)
         for texts in batches:
             yield pa.array([scorer.score(t)[0] < threshold for t in texts.to_pylist()], pa.bool_())
+        del scorer
+        give_back()
 
     return docs.where(clean(F.col("text").cast("string")))
 
