@@ -9,15 +9,23 @@ with probability ``erf(WIDTH / sqrt(2))`` in each array, so one that collides in
 ``SHARE`` of them is verified by its distance. A query ends when its ``k``-th
 best distance is within the radius.
 
-All rows are queries. A shard is searched by its own vectors first, which gives
-each a bound; then pairs of shards are joined, but for those in which no
-query's bound reaches the other shard's range in every projection.
+Queries are the rows whose id is divisible by ``QUERY_EVERY``; every row is
+indexed. Rows are sorted by their first projection (and id, so that equal
+vectors spread) and cut to shards. A query is searched in its own shard first,
+which bounds its ``k``-th distance. Then it goes to the other shards whose range
+in each of the first ``RANGES`` projections it can reach within that bound, in
+blocks of about ``QUERY_BLOCK`` queries: each block meets each shard in one task,
+where the shard's arrays are built once. Vectors move once for each block of
+queries, queries only to shards they can reach.
 
 Defined results: ``k`` rows for each query, or as many as there are other
 vectors; ties go to the lower neighbour id. A row is never its own neighbour,
 but repeated rows are each other's at distance 0. Rows whose vector is null,
 empty, not finite or of another length than the most frequent (the longer on
-ties) take no part. A null ``vec_id`` is reported as null and sorts first.
+ties) take no part, and an empty table gives no row. A row with a null
+``vec_id`` is indexed, reported as null and sorted first; it is a query only
+where all rows are. Only ``vec_id`` and ``embedding`` are read, so other columns
+may have any names.
 """
 
 from __future__ import annotations
@@ -39,9 +47,12 @@ WIDTH, SHARE, GROWTH = 1.0, 0.55, 1.3
 #: First radius as a share of the root mean square distance of two vectors of a shard.
 FIRST = 0.2
 SHARD = 4096
+#: Ids of the queries, projections in which a query must reach a shard's range, and queries of a block.
+QUERY_EVERY, RANGES, QUERY_BLOCK = 50, 8, 65_536
 SEED = 7
 
-SHARDS = "shard bigint, dim int, ids array<bigint>, vectors binary"
+SHARDS = "shard bigint, ids array<bigint>, vectors binary, low array<double>, high array<double>"
+OWN = "query bigint, vec_id bigint, shard bigint, vector binary, reach double, projected array<double>, found array<struct<neighbor: bigint, neighbor_id: bigint, distance: double>>"
 PAIRS = "query bigint, vec_id bigint, neighbor bigint, neighbor_id bigint, distance double"
 SHAPE = pa.schema([("query", pa.int64()), ("vec_id", pa.int64()), ("neighbor", pa.int64()), ("neighbor_id", pa.int64()), ("distance", pa.float64())])
 
@@ -104,16 +115,24 @@ class Index:
         return best
 
 
-def shards_of(embeddings: DataFrame, size: int) -> DataFrame:
-    """The usable vectors in shards of at most ``size``, saved."""
+def usable(embeddings: DataFrame) -> tuple[DataFrame, int]:
+    """``vec_id`` and ``v`` of the rows that take part, and their length."""
     rows = embeddings.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
-    usable = rows.where("size(v) > 0").where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))))
-    top = usable.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).first()
+    whole = rows.where("size(v) > 0").where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))))
+    top = whole.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).first()
     dim = top.dim if top else 0
+    return whole.where(F.size("v") == dim), dim
+
+
+def shards_of(rows: DataFrame, dim: int, size: int) -> DataFrame:
+    """The vectors in shards of at most ``size`` neighbours along the first projection, with the range of each projection; saved."""
+    axis = F.array(*(F.lit(float(x)) for x in directions(dim)[:, 0])) if dim else F.array().cast("array<double>")
+    place = F.aggregate(F.zip_with("v", axis, lambda x, y: x * y), F.lit(0.0), lambda a, b: a + b)
+    ordered = rows.withColumn("place", place).repartitionByRange("place", "vec_id").sortWithinPartitions("place", "vec_id")
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["shard", "dim", "ids", "vectors"]
-        kinds = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary())
+        names = ["shard", "ids", "vectors", "low", "high"]
+        kinds = (pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.float64()), pa.list_(pa.float64()))
         ids: list = []
         held: list[np.ndarray] = []
         made = 0
@@ -121,7 +140,9 @@ def shards_of(embeddings: DataFrame, size: int) -> DataFrame:
         def row(n: int) -> pa.RecordBatch:
             nonlocal made, ids, held
             matrix = np.concatenate(held).reshape(-1, dim)
-            out = ((TaskContext.get().partitionId() << 24) + made, dim, ids[:n], matrix[:n].astype("<f4").tobytes())
+            own = matrix[:n].astype("<f4")
+            projected = own.astype(np.float64) @ directions(dim)
+            out = ((TaskContext.get().partitionId() << 20) + made, ids[:n], own.tobytes(), projected.min(0)[:RANGES], projected.max(0)[:RANGES])
             made, ids, held = made + 1, ids[n:], [matrix[n:].reshape(-1)]
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(out, kinds)], names=names)
 
@@ -133,85 +154,83 @@ def shards_of(embeddings: DataFrame, size: int) -> DataFrame:
         if ids:
             yield row(len(ids))
 
-    return save(usable.where(F.size("v") == dim).mapInArrow(kernel, SHARDS), "shards")
+    return save(ordered.select("vec_id", "v").mapInArrow(kernel, SHARDS), "shards")
 
 
-def unpack(ids: pa.Scalar, dim: int, vectors: pa.Scalar) -> tuple[list, np.ndarray]:
-    return ids.as_py(), np.frombuffer(vectors.as_buffer(), "<f4").reshape(-1, dim)
+def uid(shard: int, places: np.ndarray) -> np.ndarray:
+    """A row's number: 31 bits of partition, 20 of the shard in it, 12 of the place are enough for any table."""
+    return (shard << 12) + places
 
 
-def found_rows(shard_q: int, ids_q: list, shard_v: int, ids_v: list, which: np.ndarray, best: list) -> pa.RecordBatch:
-    sizes = [len(p) for p, _ in best]
-    queries = np.repeat(which, sizes)
-    places = np.concatenate([p for p, _ in best]) if best else np.empty(0, np.int64)
-    distances = np.concatenate([d for _, d in best]) if best else np.empty(0)
-    columns = [
-        pa.array((shard_q << 24) + queries, pa.int64()),
-        pa.array([ids_q[i] for i in queries.tolist()], pa.int64()),
-        pa.array((shard_v << 24) + places, pa.int64()),
-        pa.array([ids_v[i] for i in places.tolist()], pa.int64()),
-        pa.array(distances, pa.float64()),
-    ]
-    return pa.RecordBatch.from_arrays(columns, schema=SHAPE)
+def search_own(index: Index, which: np.ndarray, k: int) -> list:
+    """A shard's vectors ``which`` searched in the shard itself, without each finding itself."""
+    best = index.search(index.vectors[which], index.projected[which], np.full(len(which), np.inf), k + 1)
+    return [(places[places != q], distances[places != q]) for q, (places, distances) in zip(which.tolist(), best)]
 
 
-def nearest(embeddings: DataFrame, k: int = K, shard: int = SHARD) -> DataFrame:
-    """``vec_id``, ``neighbor_id``, ``rank`` from 1 and ``distance`` of every row's ``k`` nearest others."""
-    shards = shards_of(embeddings, shard)
+def first_results(shards: DataFrame, dim: int, k: int, every: int) -> DataFrame:
+    """Each query with its neighbours in its own shard and the distance within which others can still matter; saved."""
+    shape = pa.schema([("query", pa.int64()), ("vec_id", pa.int64()), ("shard", pa.int64()), ("vector", pa.binary()), ("reach", pa.float64()), ("projected", pa.list_(pa.float64())), ("found", pa.list_(pa.struct([("neighbor", pa.int64()), ("neighbor_id", pa.int64()), ("distance", pa.float64())])))])
 
-    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                name, dim = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-                ids, vectors = unpack(batch.column(2)[i], dim, batch.column(3)[i])
-                index = Index(vectors)
-                for at in range(0, len(ids), 512):
-                    which = np.arange(at, min(at + 512, len(ids)))
-                    yield found_rows(name, ids, name, ids, which, search_own(index, which, k))
-
-    pieces = max(1, shards.count())
-    own = save(shards.repartition(pieces, "shard").mapInArrow(inside, PAIRS), "own")
-    # each query's bound, in the order of its shard
-    position = F.col("query") % (1 << 24)
-    kth = own.groupBy("query").agg(F.get(F.sort_array(F.collect_list("distance")), F.lit(k - 1)).alias("kth")).withColumn("shard", F.expr("shiftright(query, 24)"))
-    bounds = kth.groupBy("shard").agg(F.transform(F.array_sort(F.collect_list(F.struct(position.alias("at"), "kth"))), lambda x: x["kth"]).alias("kth"), F.transform(F.array_sort(F.collect_list(F.struct(position.alias("at"), "kth"))), lambda x: x["at"]).alias("at"))
-    left = shards.join(bounds, "shard", "left").select(*(F.col(c).alias(f"q_{c}") for c in ("shard", "dim", "ids", "vectors", "kth", "at")))
-    names = shards.select("shard")
-    pairs = names.select(F.col("shard").alias("a")).join(names.select(F.col("shard").alias("b")), F.col("a") != F.col("b"))
-    joined = pairs.join(left, F.col("a") == F.col("q_shard")).join(shards, F.col("b") == F.col("shard"))
-
-    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                shard_q, dim, ids_q, vectors_q, kth_q, at_q, shard_v, _, ids_v, vectors_v = (c[i] for c in batch.columns)
-                ids, queries = unpack(ids_q, dim.as_py(), vectors_q)
-                others, vectors = unpack(ids_v, dim.as_py(), vectors_v)
-                bound = np.full(len(ids), np.inf)
-                if at_q.is_valid:
-                    bound[np.array(at_q.as_py(), np.int64)] = np.array([np.inf if x is None else x for x in kth_q.as_py()])
-                index = Index(vectors)
-                queries = queries.astype(np.float64)
-                axes = directions(dim.as_py())
-                projected = queries @ axes
-                gap = np.maximum(index.sorted[:, 0] - projected, projected - index.sorted[:, -1]) / np.linalg.norm(axes, axis=0)
-                reach = np.flatnonzero(gap.max(1) <= bound)
-                for at in range(0, len(reach), 512):
-                    which = reach[at : at + 512]
-                    best = index.search(queries[which], projected[which], bound[which], k)
-                    yield found_rows(shard_q.as_py(), ids, shard_v.as_py(), others, which, best)
-
-    spread = F.xxhash64("a", "b")
-    rest = joined.select("a", "b", "q_shard", "q_dim", "q_ids", "q_vectors", "q_kth", "q_at", "shard", "dim", "ids", "vectors").repartition(max(1, min(pieces * (pieces - 1), 4000)), spread).drop("a", "b").mapInArrow(across, PAIRS)
+            for shard, ids, vectors in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                ids, own = ids.as_py(), np.frombuffer(vectors.as_buffer(), "<f4").reshape(-1, dim)
+                queries = np.array([i for i, x in enumerate(ids) if every == 1 or x is not None and x % every == 0], np.int64)
+                index = Index(own) if len(queries) else None
+                for at in range(0, len(queries), 512):
+                    which = queries[at : at + 512]
+                    out = []
+                    for q, (places, distances) in zip(which.tolist(), search_own(index, which, k)):
+                        reach = np.sort(distances)[k - 1] if len(distances) >= k else np.inf
+                        found = [(n, ids[p], d) for n, p, d in zip(uid(shard, places).tolist(), places.tolist(), distances.tolist())]
+                        out.append((int(uid(shard, q)), ids[q], shard, own[q].tobytes(), reach, index.projected[q, :RANGES].tolist(), [dict(zip(("neighbor", "neighbor_id", "distance"), x)) for x in found]))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), shape)], schema=shape)
+
+    return save(shards.select("shard", "ids", "vectors").repartition("shard").mapInArrow(kernel, OWN), "own")
+
+
+def nearest(embeddings: DataFrame, k: int = K, shard: int = SHARD, every: int = 1, block: int = QUERY_BLOCK) -> DataFrame:
+    """``vec_id``, ``neighbor_id``, ``rank`` from 1 and ``distance`` of the ``k`` nearest others of every row whose id is divisible by ``every``."""
+    if not 0 < shard <= 1 << 12:
+        raise ValueError("a shard holds 1 to 4096 vectors")
+    rows, dim = usable(embeddings)
+    shards = shards_of(rows, dim, shard)
+    own = first_results(shards, dim, k, every)
+    blocks = max(1, -(-own.count() // block))
+    axes = directions(dim)
+    norms = np.linalg.norm(axes, axis=0)
+
+    # queries with the shards that they can reach; vectors once for each block of queries
+    q, s = own.select("query", "vec_id", F.col("shard").alias("home"), "vector", "reach", "projected"), shards.select("shard", "low", "high")
+    near = F.col("home") != F.col("shard")
+    for i in range(RANGES):
+        slack = F.col("reach") * F.lit(float(norms[i]) * (1 + 1e-6)) + F.lit(1e-9)
+        near &= (F.get("projected", F.lit(i)) + slack >= F.get("low", F.lit(i))) & (F.get("projected", F.lit(i)) - slack <= F.get("high", F.lit(i)))
+    sent = q.join(s, near).select(F.col("shard").alias("to"), F.pmod(F.xxhash64("query"), F.lit(blocks)).alias("block"), "query", "vec_id", "vector", "reach")
+    copies = shards.select(F.col("shard").alias("own"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("block"), "ids", "vectors")
+
+    def search(queries: pa.Table, vectors: pa.Table) -> pa.Table:
+        if not queries.num_rows or not vectors.num_rows:
+            return SHAPE.empty_table()
+        ids, number = vectors.column("ids")[0].as_py(), vectors.column("own")[0].as_py()
+        index = Index(np.frombuffer(vectors.column("vectors")[0].as_buffer(), "<f4").reshape(-1, dim))
+        points = np.frombuffer(b"".join(queries.column("vector").to_pylist()), "<f4").reshape(-1, dim).astype(np.float64)
+        bounds, names, owners = (queries.column(c).to_pylist() for c in ("reach", "query", "vec_id"))
+        bounds, projected, out = np.array(bounds), points @ axes, [[], [], [], [], []]
+        for at in range(0, len(points), 512):
+            cut = slice(at, at + 512)
+            for i, (places, distances) in enumerate(index.search(points[cut], projected[cut], bounds[cut], k), at):
+                for column, values in zip(out, ([names[i]] * len(places), [owners[i]] * len(places), uid(number, places).tolist(), [ids[p] for p in places.tolist()], distances.tolist())):
+                    column.extend(values)
+        return pa.table([pa.array(c, f.type) for c, f in zip(out, SHAPE)], schema=SHAPE)
+
+    rest = sent.groupBy("to", "block").cogroup(copies.groupBy("own", "block")).applyInArrow(search, PAIRS)
+    home = own.select("query", "vec_id", F.explode("found").alias("f")).select("query", "vec_id", "f.neighbor", "f.neighbor_id", "f.distance")
     order = Window.partitionBy("query").orderBy("distance", F.col("neighbor_id").asc_nulls_first(), "neighbor")
-    ranked = own.unionAll(rest).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    ranked = home.unionAll(rest).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("vec_id", "neighbor_id", "rank", "distance")
 
 
-def search_own(index: Index, which: np.ndarray, k: int) -> list:
-    """A shard's vectors ``which`` searched in the shard itself, without each finding itself."""
-    best = index.search(index.vectors[which], index.projected[which], np.full(len(which), np.inf), k + 1)
-    return [(places[places != q], distances[places != q]) for q, (places, distances) in zip(which.tolist(), best)]
-
-
 def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nearest(table(spark, sf_dir, "embeddings"))
+    return nearest(table(spark, sf_dir, "embeddings"), every=QUERY_EVERY)

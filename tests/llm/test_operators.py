@@ -327,6 +327,22 @@ def test_neighbours_reach_the_recall_of_brute_force(spark):
     assert all(abs(dist - d[i, n]) < 1e-9 for i in range(0, 700, 50) for _, n, dist in got[i])
 
 
+def test_neighbours_of_the_query_set_of_the_whole_table(spark):
+    table = common.table(spark, "/root/testdata/sf0.1", "embeddings")
+    rows = table.where("embedding is not null").orderBy("vec_id").collect()
+    x, ids = np.array([r.embedding for r in rows], float), np.array([r.vec_id for r in rows])
+    got = defaultdict(set)
+    for n in neighbours.nearest(table.withColumn("shard", F.lit("x")), every=50, shard=256, block=16).collect():
+        got[n.vec_id].add(n.neighbor_id)
+    assert set(got) == {i for i in ids.tolist() if i % 50 == 0}
+    right = []
+    for i in np.flatnonzero(ids % 50 == 0):
+        d = np.sqrt(((x - x[i]) ** 2).sum(1))
+        d[i] = np.inf
+        right.append(len(set(ids[np.argsort(d)[:10]].tolist()) & got[int(ids[i])]) / 10)
+    assert np.mean(right) >= 0.95
+
+
 def test_neighbours_of_few_and_repeated_rows(spark):
     rows = [(1, [0.0, 1.0]), (1, [0.0, 1.0]), (None, [3.0, 1.0])]
     table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
