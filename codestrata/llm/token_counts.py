@@ -7,19 +7,22 @@ forward score) and the number of pieces of that segmentation, so a prefix that
 many pre-tokens share is scored once. A document's count is the sum of the
 counts stored at its terminals.
 
-The unigram score of a vocabulary piece is the Zipf-Mandelbrot log probability
-of its rank, as the vocabulary files give ranks, not probabilities. A character
-outside the vocabulary costs one piece for each UTF-8 byte. Ties go to fewer
-pieces, then to the longer last piece.
+A piece's score is the logarithm of its share of the corpus (with one more of
+each piece, so that none is impossible), estimated in a first pass over all
+documents, each pre-token cut by the vocabulary's own merges. What is collected
+are the counts of the vocabulary's pieces, a bound that doesn't grow with the
+data. A character may also be written as the pieces of its UTF-8 bytes. Ties go
+to fewer pieces, then to the longer last piece.
 
 Defined results: a null or empty text, or one of white space only, has 0
 pre-tokens and 0 tokens; a null ``doc_id`` stays null; every row is counted,
-repeated ones too.
+repeated ones too; a text, or a pre-token, of any length is counted whole; an
+empty table gives no row. Only ``doc_id`` and ``text`` are read, so other
+columns may have any names.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,96 +37,126 @@ from .common import byte_chunks, starts_of, table
 
 MARK = "▁"
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-#: Pre-tokens whose counts a worker keeps before it starts afresh; results don't depend on it.
-MEMO_ENTRIES = 1_000_000
-BYTE_SCORE = -14.0
+#: Nodes of the trie that a worker keeps before it starts afresh; results don't depend on it.
+MAX_NODES = 500_000
 COUNTS = "doc_id bigint, n_pretokens bigint, n_tokens bigint"
 SHAPE = pa.schema([("doc_id", pa.int64()), ("n_pretokens", pa.int64()), ("n_tokens", pa.int64())])
 
 
-def unigram(path: str) -> dict[str, float]:
-    """Piece -> score for every ordinary piece of a vocabulary file."""
-    model = sentencepiece.SentencePieceProcessor(model_file=path)
-    ordinary = [i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
-    ordinary.sort(key=lambda i: (-model.get_score(i), i))
-    total = math.log(sum(1 / (r + 2.7) for r in range(len(ordinary))))
-    return {model.id_to_piece(i): -math.log(r + 2.7) - total for r, i in enumerate(ordinary)}
+@lru_cache(maxsize=2)
+def vocabulary_of(path: str) -> sentencepiece.SentencePieceProcessor:
+    """The vocabulary of a worker process, kept between its tasks."""
+    return sentencepiece.SentencePieceProcessor(model_file=path)
+
+
+def pretokens(texts: pa.Array) -> tuple[pa.Array, pa.DictionaryArray]:
+    """The pre-tokens of each text as a list, and all of them in a row with their distinct values."""
+    split = pc.utf8_split_whitespace(pc.fill_null(texts, ""))
+    return split, pc.dictionary_encode(split.flatten())
+
+
+def piece_counts(docs: DataFrame, vocabulary: str) -> np.ndarray:
+    """How often each piece of the vocabulary stands in ``docs``."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = vocabulary_of(vocabulary)
+        total = np.zeros(model.get_piece_size(), np.int64)
+        for part in byte_chunks(batches, 0, 16_000_000):
+            _, coded = pretokens(part.column(0))
+            often = np.bincount(coded.indices.to_numpy(), minlength=len(coded.dictionary)) if len(coded) else np.empty(0, np.int64)
+            ids = model.encode(coded.dictionary.to_pylist(), num_threads=1)
+            flat = np.fromiter((i for x in ids for i in x), np.int64)
+            np.add.at(total, flat, np.repeat(often, [len(x) for x in ids]))
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["piece", "n"])
+
+    total = np.zeros(vocabulary_of(vocabulary).get_piece_size(), np.int64)
+    for row in docs.select(F.col("text").cast("string").alias("text")).mapInArrow(kernel, "piece bigint, n bigint").groupBy("piece").agg(F.sum("n").alias("n")).collect():
+        total[row.piece] = row.n
+    return total
+
+
+def unigram(path: str, counts: np.ndarray) -> tuple[dict[str, float], list[float]]:
+    """The score of every ordinary piece, and those of the 256 bytes."""
+    model = vocabulary_of(path)
+    scores = np.log((counts + 1) / (counts.sum() + len(counts))).tolist()
+    odd = [i for i in range(len(scores)) if model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i)]
+    pieces = {model.id_to_piece(i): scores[i] for i in sorted(set(range(len(scores))) - set(odd))}
+    return pieces, [scores[model.piece_to_id(f"<0x{b:02X}>")] for b in range(256)]
 
 
 class Counter:
-    """Pre-token -> piece count; new pre-tokens are scored together over their trie.
+    """Distinct pre-tokens in a trie: each node with the forward score and the pieces of the string that leads to it.
 
     ``ending`` is a trie of the vocabulary read backwards, in which one walk
     from a character to the left meets every piece that ends there. A leaf key
     of ``""`` holds the score.
     """
 
-    def __init__(self, scores: dict[str, float]):
+    def __init__(self, scores: dict[str, float], of_bytes: list[float]):
         self.ending: dict = {}
         for piece, score in scores.items():
             node = self.ending
             for char in reversed(piece):
                 node = node.setdefault(char, {})
             node[""] = score
-        self.counts: dict[str, int] = {}
+        self.of_bytes = of_bytes
+        self.start()
+
+    def start(self) -> None:
+        """An empty trie. A child is found by its parent's number and its character."""
+        self.child: dict[int, int] = {}
+        self.forward, self.pieces = [0.0], [0]
+        self.terminal: dict[str, int] = {}
 
     def count(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Pre-tokens and tokens of each text."""
-        split = pc.utf8_split_whitespace(pc.fill_null(texts, ""))
-        coded = pc.dictionary_encode(split.flatten())
+        split, coded = pretokens(texts)
         distinct = coded.dictionary.to_pylist()
-        if len(self.counts) + len(distinct) > MEMO_ENTRIES:
-            self.counts.clear()
-        self.insert(sorted(set(distinct) - self.counts.keys() - {""}))
-        get = self.counts.get
+        if len(self.forward) > MAX_NODES:
+            self.start()
+        for pretoken in distinct:
+            if pretoken and pretoken not in self.terminal:
+                self.insert(pretoken)
+        get = self.terminal.get
         of = np.fromiter((get(x, 0) for x in distinct), np.int64, len(distinct))
         each = of[coded.indices.to_numpy()] if len(coded) else np.empty(0, np.int64)
         ends = starts_of(pc.list_value_length(split).to_numpy(zero_copy_only=False))
         return tuple(np.diff(starts_of(x)[ends]) for x in (each > 0, each))
 
-    def insert(self, pretokens: list[str]) -> None:
-        """Walk the trie of the sorted ``pretokens`` in depth-first order.
-
-        In this order a node's ancestors are a stack, so a node is made, and its
-        forward score computed, once for all pre-tokens that share its prefix.
-        """
-        ending, counts = self.ending, self.counts
-        last, forward, pieces = "", [0.0], [0]
-        for pretoken in pretokens:
-            text = MARK + pretoken
-            shared, most = 0, min(len(last), len(text))
-            while shared < most and last[shared] == text[shared]:
-                shared += 1
-            del forward[shared + 1 :], pieces[shared + 1 :]
-            for end in range(shared, len(text)):
-                cost = len(text[end].encode("utf-8", "surrogatepass"))
-                best, fewest, node, start = forward[end] + BYTE_SCORE * cost, pieces[end] + cost, ending, end
+    def insert(self, pretoken: str) -> None:
+        """Walk down the trie; nodes that aren't there yet are made and scored from those above them."""
+        child, forward, pieces, ending, text, path = self.child, self.forward, self.pieces, self.ending, MARK + pretoken, [0]
+        for end, char in enumerate(text):
+            key = path[-1] << 21 | ord(char)
+            at = child.get(key)
+            if at is None:
+                spelt = char.encode("utf-8", "surrogatepass")
+                best, fewest = forward[path[-1]] + sum(map(self.of_bytes.__getitem__, spelt)), pieces[path[-1]] + len(spelt)
+                node, start = ending, end
                 while start >= 0:
                     node = node.get(text[start])
                     if node is None:
                         break
                     if "" in node:
-                        score, n = forward[start] + node[""], pieces[start] + 1
+                        above = path[start]
+                        score, n = forward[above] + node[""], pieces[above] + 1
                         if score > best or score == best and n <= fewest:
                             best, fewest = score, n
                     start -= 1
+                at = child[key] = len(forward)
                 forward.append(best)
                 pieces.append(fewest)
-            counts[pretoken] = pieces[-1]
-            last = text
-
-
-@lru_cache(maxsize=2)
-def counter(vocabulary: str) -> Counter:
-    """The counter of a worker process, kept between its tasks."""
-    return Counter(unigram(vocabulary))
+            path.append(at)
+        self.terminal[pretoken] = pieces[path[-1]]
 
 
 def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """``doc_id``, pre-tokens and tokens of every row of ``docs``; a map-only job."""
+    """``doc_id``, pre-tokens and tokens of every row of ``docs``: a pass for the scores, and one for the counts."""
+    shared = docs.sparkSession.sparkContext.broadcast(unigram(vocabulary, piece_counts(docs, vocabulary)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = counter(vocabulary)
+        own = Counter(*shared.value)
         for part in byte_chunks(batches, most=16_000_000):
             yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, own.count(part.column(1)))], schema=SHAPE)
 
