@@ -2,14 +2,20 @@
 
 Every document is tokenized, its ids are serialized as little-endian 16-bit
 integers, and the bytes are compressed as one zstandard frame of their own with
-a dictionary trained on such arrays. A shard is the records of one partition in
-order; its first record carries the dictionary, so a shard is complete in
-itself, and every record has the dictionary's hash, its byte offset in the
-shard and its length, so that a short document is read without its neighbours.
+a dictionary trained on such arrays. A shard file is the frames of one partition
+in order; the dictionary lies beside the shards under its hash. The result is
+the offset index: every record has its shard's path, its byte offset there and
+its length, and the dictionary's hash, so that a short document is read without
+its neighbours.
+
+The dictionary is trained on ``TRAIN_PIECES`` pieces of ``PIECE_CHARS``
+characters with the lowest hashes among all pieces of all documents, so a text's
+end counts as much as its beginning.
 
 Defined results: a null or empty text has 0 tokens and a frame of 0 bytes of
 content; null ``doc_id`` stays null; repeated rows are separate records; texts
-of any length are one record; an empty table gives no record.
+of any length are one record; an empty table gives no record and no shard. Only
+``doc_id`` and ``text`` are read, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -30,16 +36,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_chunks, starts_of, table
+from .common import byte_chunks, save, shared_folder, starts_of, table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Bound on the documents (and bytes of each) whose id arrays train the dictionary.
-TRAIN_DOCS, TRAIN_BYTES = 2000, 4096
+#: Pieces, and characters of each, that train the dictionary: 8 MB of text at most.
+TRAIN_PIECES, PIECE_CHARS = 2000, 4096
 DICTIONARY_BYTES = 32768
 LEVEL = 3
-RECORD = "doc_id bigint, n_tokens int, shard int, byte_offset bigint, byte_length int, dictionary_hash string, dictionary binary, frame binary"
-SHAPE = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int32()), ("shard", pa.int32()), ("byte_offset", pa.int64()), ("byte_length", pa.int32()), ("dictionary_hash", pa.string()), ("dictionary", pa.binary()), ("frame", pa.binary())])
+INDEX = "doc_id bigint, n_tokens int, shard string, byte_offset bigint, byte_length int, dictionary_hash string"
+SHAPE = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int32()), ("shard", pa.string()), ("byte_offset", pa.int64()), ("byte_length", pa.int32()), ("dictionary_hash", pa.string())])
 
 
 class Encoder:
@@ -95,58 +101,79 @@ def encoder_of(vocabulary: str) -> Encoder:
     return Encoder(vocabulary)
 
 
-def train_dictionary(docs: DataFrame, vocabulary: str = VOCABULARY, train_docs: int = TRAIN_DOCS) -> bytes:
-    """A zstandard dictionary from the documents of the lowest ``doc_id`` hashes; empty for an empty table.
-
-    Where there is too little to train on, the samples themselves are the
-    dictionary's content.
-    """
-    keyed = docs.select(F.xxhash64("doc_id").alias("h"), "doc_id", F.substring("text", 1, TRAIN_BYTES).alias("text")).where("text is not null")
+def train_dictionary(docs: DataFrame, vocabulary: str = VOCABULARY, train_pieces: int = TRAIN_PIECES) -> bytes:
+    """A zstandard dictionary from the sampled pieces; empty only where there is no text at all."""
+    text = F.col("text").cast("string")
+    numbers = F.sequence(F.lit(0).cast("bigint"), F.floor((F.length("text") - 1) / PIECE_CHARS).cast("bigint"))
+    pieces = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text")).where("length(text) > 0").select("doc_id", "text", F.explode(numbers).alias("piece"))
+    keyed = pieces.withColumn("h", F.xxhash64("doc_id", "piece", F.length("text")))
     # hashes first: what a task sends is then small, however many tasks there are
-    cut = keyed.select("h").orderBy("h").limit(train_docs).agg(F.max("h")).first()[0]
-    sample = keyed.where(F.col("h") <= F.lit(cut).cast("bigint")).orderBy("h", "doc_id", "text").limit(train_docs)
-    samples = [x[:TRAIN_BYTES] for x in encoder_of(vocabulary).encode(pa.array([r.text for r in sample.collect()], pa.string())) if x]
-    try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, samples, k=200, d=8, level=LEVEL).as_bytes()
-    except zstandard.ZstdError:
-        return b"".join(samples)[-DICTIONARY_BYTES:]
+    cut = keyed.select("h").orderBy("h").limit(train_pieces).agg(F.max("h")).first()[0]
+    own = F.substring("text", (F.col("piece") * PIECE_CHARS + 1).cast("int"), F.lit(PIECE_CHARS))
+    sample = keyed.where(F.col("h") <= F.lit(cut).cast("bigint")).select("h", own.alias("own")).orderBy("h", "own").limit(train_pieces)
+    samples = [x for x in encoder_of(vocabulary).encode(pa.array([r.own for r in sample.collect()], pa.string())) if x]
+    return trained(samples)
+
+
+def trained(samples: list[bytes]) -> bytes:
+    """The dictionary of the samples, which are repeated where they are too few for the trainer."""
+    times = 1
+    while samples:
+        try:
+            return zstandard.train_dictionary(DICTIONARY_BYTES, samples * times, k=200, d=8, level=LEVEL).as_bytes()
+        except zstandard.ZstdError:
+            if times * sum(map(len, samples)) > 1 << 24:
+                raise
+            times *= 4
+    return b""
 
 
 def as_dictionary(data: bytes) -> zstandard.ZstdCompressionDict | None:
-    if not data:
-        return None
-    trained = data[:4] == b"\x37\xa4\x30\xec"
-    return zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_FULLDICT if trained else zstandard.DICT_TYPE_RAWCONTENT)
+    return zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_FULLDICT) if data else None
 
 
 def dictionary_hash(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()[:16]
 
 
-def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, train_docs: int = TRAIN_DOCS) -> DataFrame:
-    """One record for each row of ``docs``; a map-only job after the dictionary's bounded sample."""
-    data = train_dictionary(docs, vocabulary, train_docs)
+def encode_documents(docs: DataFrame, folder: str | None = None, vocabulary: str = VOCABULARY, train_pieces: int = TRAIN_PIECES) -> DataFrame:
+    """Write the shards of ``docs`` under ``folder`` (one of its own in the shared folder by default); the offset index.
+
+    Encoding is map-only. A task writes under a name of its own attempt and
+    moves the finished file into place, so a task that is run again leaves one
+    whole file.
+    """
+    spark = docs.sparkSession
+    folder = folder or f"{shared_folder(spark)}/codestrata/tokens-{uuid.uuid4().hex}"
+    data = train_dictionary(docs, vocabulary, train_pieces)
     name = dictionary_hash(data)
+    fs, root = pyarrow.fs.FileSystem.from_uri(folder)
+    fs.create_dir(root, recursive=True)
+    with fs.open_output_stream(f"{root}/{name}.dict") as out:
+        out.write(data)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shared, shard, offset = encoder_of(vocabulary), as_dictionary(data), TaskContext.get().partitionId(), 0
-        if shared and data[:4] == b"\x37\xa4\x30\xec":
+        encoder, shared, offset = encoder_of(vocabulary), as_dictionary(data), 0
+        if shared:
             shared.precompute_compress(level=LEVEL)
         compress = zstandard.ZstdCompressor(level=LEVEL, dict_data=shared, write_content_size=True).compress
-        first = True
-        for part in byte_chunks(batches, most=2_000_000):
-            ids = encoder.encode(part.column(1))
-            frames = [compress(x) for x in ids]
-            lengths = np.array([len(x) for x in frames], np.int64)
-            ends = offset + np.cumsum(lengths)
-            n = len(frames)
-            header = [data if first and i == 0 else None for i in range(n)]
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array([len(x) // 2 for x in ids], pa.int32()), pa.array([shard] * n, pa.int32()), pa.array(ends - lengths, pa.int64()), pa.array(lengths, pa.int32()), pa.array([name] * n, pa.string()), pa.array(header, pa.binary()), pa.array(frames, pa.binary())], schema=SHAPE
-            )
-            first, offset = False, int(ends[-1])
-
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(encode, RECORD)
+        fs, root = pyarrow.fs.FileSystem.from_uri(folder)
+        shard, draft = f"{TaskContext.get().partitionId():06d}.tok", f"{root}/.{uuid.uuid4().hex}"
+        with fs.open_output_stream(draft) as out:
+            for part in byte_chunks(batches, most=2_000_000):
+                ids = encoder.encode(part.column(1))
+                frames = [compress(x) for x in ids]
+                out.write(b"".join(frames))
+                lengths, n = np.array([len(x) for x in frames], np.int64), len(frames)
+                ends = offset + np.cumsum(lengths)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array([len(x) // 2 for x in ids], pa.int32()), pa.array([f"{folder}/{shard}"] * n, pa.string()), pa.array(ends - lengths, pa.int64()), pa.array(lengths, pa.int32()), pa.array([name] * n, pa.string())], schema=SHAPE
+                )
+                offset = int(ends[-1])
+        fs.move(draft, f"{root}/{shard}") if offset else fs.delete_file(draft)
+
+    slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return save(slim.mapInArrow(encode, INDEX), "token-index")
 
 
 def decode(frame: bytes, dictionary: bytes) -> np.ndarray:
@@ -154,41 +181,12 @@ def decode(frame: bytes, dictionary: bytes) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor(dict_data=as_dictionary(dictionary)).decompress(frame), "<u2")
 
 
-def write_shards(records: DataFrame, folder: str) -> DataFrame:
-    """Write each partition's frames as one ``.tok`` file under ``folder`` and return the offset index.
-
-    A task writes under a name of its own attempt and moves the finished file
-    into place, so a task that is run again leaves one whole file.
-    """
-    index = "doc_id bigint, n_tokens int, shard int, byte_offset bigint, byte_length int, dictionary_hash string"
-
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = pyarrow.fs.FileSystem.from_uri(folder)
-        fs.create_dir(root, recursive=True)
-        draft = f"{root}/.{uuid.uuid4().hex}"
-        shard = None
-        with fs.open_output_stream(draft) as out:
-            for batch in batches:
-                for frame in batch.column(7):
-                    out.write(frame.as_buffer())
-                if batch.num_rows:
-                    shard = batch.column(2)[0].as_py()
-                    found = [x for x in batch.column(6).to_pylist() if x is not None]
-                    if found:
-                        with fs.open_output_stream(f"{root}/{dictionary_hash(found[0])}.{shard:06d}.dict") as own:
-                            own.write(found[0])
-                yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(6)], schema=pa.schema(list(SHAPE)[:6]))
-        fs.delete_file(draft) if shard is None else fs.move(draft, f"{root}/{shard:06d}.tok")
-
-    return records.mapInArrow(write, index)
-
-
-def read_document(folder: str, shard: int, byte_offset: int, byte_length: int, dictionary_hash: str) -> np.ndarray:
-    """The ids of one document from a shard file, reading its bytes only."""
-    fs, root = pyarrow.fs.FileSystem.from_uri(folder)
-    with fs.open_input_file(f"{root}/{dictionary_hash}.{shard:06d}.dict") as f:
+def read_document(shard: str, byte_offset: int, byte_length: int, dictionary_hash: str) -> np.ndarray:
+    """The ids of one document from its shard file, reading its bytes only."""
+    fs, path = pyarrow.fs.FileSystem.from_uri(shard)
+    with fs.open_input_file(f"{path.rsplit('/', 1)[0]}/{dictionary_hash}.dict") as f:
         dictionary = f.read()
-    with fs.open_input_file(f"{root}/{shard:06d}.tok") as f:
+    with fs.open_input_file(path) as f:
         return decode(f.read_at(byte_length, byte_offset), dictionary)
 
 

@@ -148,28 +148,33 @@ def test_pieces_give_the_ids_of_the_whole_text(texts):
     assert own.encode(pa.array(texts, pa.string())) == [own.whole(t) for t in texts]
 
 
-def test_token_records_round_trip(spark, encoder, tmp_path):
+def test_token_records_round_trip(spark, encoder):
     docs = odd_documents(spark)
     records = token_binary.encode_documents(docs).collect()
     texts = {r.doc_id: r.text for r in docs.collect()}
-    dictionary = {r.shard: r.dictionary for r in records if r.dictionary is not None}
     assert len(records) == docs.count()
     for r in records:
-        ids = token_binary.decode(r.frame, dictionary[r.shard])
+        ids = token_binary.read_document(r.shard, r.byte_offset, r.byte_length, r.dictionary_hash)
         assert len(ids) == r.n_tokens and ids.tobytes() == encoder.whole(texts[r.doc_id] or "")
-        assert token_binary.dictionary_hash(dictionary[r.shard]) == r.dictionary_hash
     assert token_binary.encode_documents(docs.limit(0)).count() == 0
 
 
 def test_shard_files_give_single_documents(spark, encoder, tmp_path):
     texts = random_texts(5, 300, 3000)
-    index = token_binary.write_shards(token_binary.encode_documents(documents(spark, texts).repartition(3)), f"file://{tmp_path}/out").collect()
+    index = token_binary.encode_documents(documents(spark, texts).repartition(3), f"file://{tmp_path}/out").collect()
     assert len(index) == 300 and max(r.byte_offset for r in index) > 0
+    assert len(list((tmp_path / "out").glob("*.tok"))) == len({r.shard for r in index}) == 3
     for r in index[::7]:
-        ids = token_binary.read_document(f"file://{tmp_path}/out", r.shard, r.byte_offset, r.byte_length, r.dictionary_hash)
+        ids = token_binary.read_document(r.shard, r.byte_offset, r.byte_length, r.dictionary_hash)
         assert ids.tobytes() == encoder.whole(texts[r.doc_id])
 
 
+def test_dictionaries_are_trained_on_samples_of_any_number():
+    for samples in ([b"ab"], [b"abcdefgh" * 9] * 3, [bytes([i]) * 30 for i in range(200)]):
+        assert token_binary.trained(samples)[:4] == b"\x37\xa4\x30\xec"
+    assert token_binary.trained([]) == b""
+
+
 # 3: toxicity
 
 
@@ -225,6 +230,27 @@ def test_toxicity_odd_input(spark):
     assert toxicity.keep_clean(docs.limit(0), labels).count() == 0
 
 
+def test_toxicity_scores_are_those_of_brute_force(spark):
+    texts, labels, _ = toxic_corpus(7, 300)
+    texts[:3] = [None, "", "vileword " * 40 + "! badword badly. fine"]
+    docs = documents(spark, texts)
+    known = spark.createDataFrame([(i, 1, x) for i, x in enumerate(labels)], "doc_id bigint, quality int, toxic int")
+    model = toxicity.train(docs, known)
+    expected = set()
+    for i, text in enumerate(texts):
+        clean, found, number = 1.0, [], 0
+        for m in re.finditer(r"[^.!?\n]+", text or ""):
+            total = sum(model.get(f, 0) for w in set(re.findall(r"\w+", m.group().lower())) for f in [w] + [w[:n] + "*" for n in (4, 5) if len(w) > n])
+            p = 1 / (1 + math.exp(-(model[""] + total) / 1e6)) if total else 0.0
+            clean *= 1 - p
+            found += [(p, -number, m.start(), m.end())] if total else []
+            number += 1
+        if 1 - clean >= toxicity.THRESHOLD:
+            expected |= {(i, -n, a, b) for p, n, a, b in found if p >= toxicity.THRESHOLD or (p, n) == max(found)[:2]}
+    got = toxicity.offending_sentences(docs, known).collect()
+    assert expected and {(r.doc_id, r.sentence, r.start_char, r.end_char) for r in got} == expected
+
+
 # 4: repeated passages
 
 
@@ -551,12 +577,12 @@ def test_notice_search_finds_the_licence_lines_of_the_documents_table(spark):
 # 10: token counts
 
 
-def brute_count(scores, pretoken):
+def brute_count(scores, of_bytes, pretoken):
     text = token_counts.MARK + pretoken
     best = [(0.0, 0)]
     for end in range(1, len(text) + 1):
-        cost = len(text[end - 1].encode())
-        now = (best[end - 1][0] + token_counts.BYTE_SCORE * cost, best[end - 1][1] + cost)
+        spelt = text[end - 1].encode()
+        now = (best[end - 1][0] + sum(of_bytes[b] for b in spelt), best[end - 1][1] + len(spelt))
         for start in range(end - 1, -1, -1):
             if text[start:end] in scores:
                 one = (best[start][0] + scores[text[start:end]], best[start][1] + 1)
@@ -567,12 +593,29 @@ def brute_count(scores, pretoken):
 
 
 def test_token_counts_are_those_of_plain_dynamic_programming(spark):
-    scores = token_counts.unigram(token_counts.VOCABULARY)
     texts = ["The theory of the thermal theatre, theoretically.", "naïve \U0001f600 ☃ x" * 3, *random_texts(13, 20, 5000)]
-    got = {r.doc_id: (r.n_pretokens, r.n_tokens) for r in token_counts.count_tokens(documents(spark, texts).repartition(2)).collect()}
+    docs = documents(spark, texts).repartition(2)
+    model = token_counts.vocabulary_of(token_counts.VOCABULARY)
+    plain = np.zeros(model.get_piece_size(), np.int64)
+    for text in texts:
+        for pretoken in text.split():
+            for i in model.encode(pretoken):
+                plain[i] += 1
+    counts = token_counts.piece_counts(docs, token_counts.VOCABULARY)
+    assert counts.tolist() == plain.tolist()
+    scores, of_bytes = token_counts.unigram(token_counts.VOCABULARY, counts)
+    got = {r.doc_id: (r.n_pretokens, r.n_tokens) for r in token_counts.count_tokens(docs).collect()}
     for i, text in enumerate(texts):
         parts = re.split(r"\s+", text)
-        assert got[i] == (len(parts), sum(brute_count(scores, p) for p in parts))
+        assert got[i] == (len(parts), sum(brute_count(scores, of_bytes, p) for p in parts))
+
+
+def test_a_shared_prefix_is_scored_once():
+    own = token_counts.Counter({"▁a": -1.0, "b": -2.0, "ab": -2.5}, [-9.0] * 256)
+    own.insert("ab")
+    before = len(own.forward)
+    own.insert("abb")
+    assert len(own.forward) == before + 1 and own.terminal == {"ab": 2, "abb": 3}
 
 
 def test_token_counts_odd_input(spark):
