@@ -14,8 +14,8 @@ collection is a sequence of blocks with, for every suffix in order, its first
 symbol, the place of its own suffix shorter by one, and the length of the
 prefix it shares with the suffix before it. A round goes through the blocks in
 sequence: once to find the places, once for the least common prefixes between
-them, once to write the blocks anew. Collections over ``MEMORY_SYMBOLS`` keep
-the blocks as files in the shared folder, smaller ones in memory.
+them, once to write the blocks anew. The blocks are files in the shared folder,
+for collections of every size.
 
 Runs of suffixes that share ``MIN_WORDS`` words and come from two different
 documents are repeats.
@@ -47,8 +47,8 @@ MIN_WORDS = 50
 RUN = 20
 #: Segments collected for one construction, but for a larger anchor group.
 BATCH = 3000
-#: Symbols of a collection that is kept in memory, and of a block.
-MEMORY_SYMBOLS, BLOCK = 8_000_000, 2_000_000
+#: Symbols of a block.
+BLOCK = 2_000_000
 NO_ID = 2**63 - 1
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -109,8 +109,8 @@ class Blocks:
             else:
                 with self.fs.open_input_stream(block) as f:
                     data = f.read()
-                n = len(data) // 22
-                yield tuple(np.frombuffer(data, kind, n, at * n) for kind, at in (("<u8", 0), ("<i8", 8), ("<i4", 16), ("<i2", 20)))
+                n = len(data) // 24
+                yield tuple(np.frombuffer(data, kind, n, at * n) for kind, at in (("<u8", 0), ("<i8", 8), ("<i4", 16), ("<i4", 20)))
 
     def replace(self, blocks: Iterator[tuple[np.ndarray, ...]]) -> None:
         old, new, n = self.blocks, [], 0
@@ -146,7 +146,7 @@ def construct(words: np.ndarray, lengths: np.ndarray, folder: str | None = None)
     ends = starts_of(lengths)[1:]
     store = Blocks(folder)
     strings = np.arange(n, dtype=np.int64)
-    store.replace(iter([(strings.astype(np.uint64), strings, np.zeros(n, np.int32), np.zeros(n, np.int16))]))
+    store.replace(iter([(strings.astype(np.uint64), strings, np.zeros(n, np.int32), np.zeros(n, np.int32))]))
     place = strings.copy()  # of each string's newest suffix
     for j in range(1, int(lengths.max(initial=0)) + 1):
         active = np.flatnonzero(lengths >= j)
@@ -246,7 +246,7 @@ def merged(store: Blocks, key: np.ndarray, string: np.ndarray, into: np.ndarray,
         yield from zip(*(np.array_split(c, pieces) for c in block))
 
 
-def repeated(group: list[tuple[int, int, int, int, bytes]], min_words: int, folder: str | None) -> list[tuple]:
+def repeated(group: list[tuple[int, int, int, int, bytes]], min_words: int, folder: str) -> list[tuple]:
     """(row, start, end, first id) of the shared passages among segments (anchor, row, first id, start, words)."""
     members: dict[tuple[int, bytes], list[tuple[int, int, int]]] = {}
     for anchor, row, first, start, data in group:
@@ -254,7 +254,6 @@ def repeated(group: list[tuple[int, int, int, int, bytes]], min_words: int, fold
     texts = [np.frombuffer(data, "<u4") for _, data in members]
     lists = list(members.values())
     lengths = np.array([len(t) for t in texts], np.int64)
-    folder = folder if lengths.sum() > MEMORY_SYMBOLS else None
     string, length, lcp = construct(np.concatenate(texts), lengths, folder)
     low = np.array([min(r for r, _, _ in x) for x in lists])
     high = np.array([max(r for r, _, _ in x) for x in lists])
