@@ -29,7 +29,7 @@ from .common import WORD, fold, give_back, table, text_chunks
 
 SENTENCE = re.compile(r"[^.!?\n]+")
 #: Bound on the labelled documents a model is fitted on, half of each class.
-TRAIN_DOCS = 4000
+TRAIN_DOCS = 8000
 #: A document at or over this noisy-or probability is rejected.
 THRESHOLD = 0.5
 #: A word must be in this many training documents to get a weight.
