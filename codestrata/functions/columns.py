@@ -114,7 +114,7 @@ def to_snake(name: Column) -> Column:
 
 def to_camel(name: Column) -> Column:
     parts = F.filter(F.split(bare(name), "_"), lambda p: p != "")
-    words = F.transform(parts, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.lower(F.substring(p, 2, 1 << 20))))
+    words = F.transform(parts, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.lower(F.substr(p, F.lit(2)))))
     return F.concat(F.regexp_extract(name, "^_*", 0), F.array_join(words, ""))
 
 
@@ -142,18 +142,25 @@ def update_kind(current: Column, latest: Column) -> Column:
 
 # environment and debt
 
-SECRET_NAME = r"(?i)(secret|password|passwd|token|api_?key|private_?key|credential)"
-PLACEHOLDER_VALUE = r"(?i)^(your[-_ ].*|<.*>|xxx+|changeme|placeholder|todo|\*+)$"
+SECRET_NAME = r"(?i)secret|passw(or)?d|pwd|token|auth|cred|(api|priv|private|access|aws).?key|(database|db).?url|connection.?string"
+PLACEHOLDER_VALUE = r"(?i)^(xxx|todo|replace|placeholder|change[-_]?me|your[-_])|^<.*>$|^[.]{3}$"
 DEBT_TAGS = {"FIXME": "high", "HACK": "high", "BUG": "high", "XXX": "medium", "TODO": "medium", "NOQA": "low", "NOTE": "low", "CHANGED": "low", "OPTIMIZE": "medium", "REFACTOR": "medium"}
 DEBT = rf"(?i)(?:#|//|/\*|\*|--|;)\s*({'|'.join(DEBT_TAGS)})(?:\(([^)]+)\))?\s*:?\s*(.+?)?\s*$"
 
 
-def module_of(path: Column) -> Column:
-    """Dotted module of a path; a package's own file is the package."""
-    dotted = F.regexp_replace(F.regexp_replace(path, r"\.py$", ""), "/", ".")
+def module_of(path: Column, src_is_package: Column | None = None) -> Column:
+    """Dotted module of a path; a package's own file is the package, and a ``src`` folder counts only where it is one."""
+    kept = F.lit(False) if src_is_package is None else src_is_package
+    inner = F.when(kept, path).otherwise(F.regexp_replace(path, "^src/", ""))
+    dotted = F.regexp_replace(F.regexp_replace(inner, r"\.py$", ""), "/", ".")
     return F.regexp_replace(dotted, r"\.?__init__$", "")
 
 
+def is_test_path(path: Column) -> Column:
+    slashes = F.replace(path, F.lit("\\"), F.lit("/"))
+    return slashes.rlike(r"(^|/)(test_[^/]*|[^/]*_test\.py|conftest\.py)$|/tests?/")
+
+
 def prefixes(module: Column) -> Column:
     """A module and its packages, the longest first."""
     parts = F.split(module, r"\.")

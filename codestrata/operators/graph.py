@@ -9,8 +9,15 @@ from ..functions import columns as C
 from ..session import save
 
 
+def with_module(rows: DataFrame, files: DataFrame, name: str = "module") -> DataFrame:
+    """``rows`` with the module of their ``path``; ``src`` is part of it only in projects with ``src/__init__.py``."""
+    packages = files.where("path = 'src/__init__.py'").select("project").distinct().withColumn("src_is_package", F.lit(True))
+    kept = F.coalesce("src_is_package", F.lit(False))
+    return rows.join(packages, "project", "left").withColumn(name, C.module_of(F.col("path"), kept)).drop("src_is_package")
+
+
 def modules(files: DataFrame) -> DataFrame:
-    return files.select("project", "path", C.module_of(F.col("path")).alias("module")).distinct()
+    return with_module(files.select("project", "path"), files).select("project", "path", "module").distinct()
 
 
 def resolve(files: DataFrame, imports: DataFrame) -> DataFrame:
@@ -21,13 +28,14 @@ def resolve(files: DataFrame, imports: DataFrame) -> DataFrame:
     with all modules.
     """
     known = modules(files)
-    own = C.module_of(F.col("path"))
+    # ids come before the join, so that a second evaluation gives the same ones
+    imports, own = with_module(imports.withColumn("id", F.monotonically_increasing_id()), files, "own_module"), F.col("own_module")
     parts = F.split(own, r"\.")
     is_package = F.col("path").endswith("__init__.py")
     depth = F.size(parts) - F.col("level") + is_package.cast("int")
     base = F.when(depth > 0, F.array_join(F.slice(parts, F.lit(1), depth), "."))
     full = F.when(~F.col("is_relative"), F.col("module")).otherwise(F.concat_ws(".", base, F.when(F.col("module") != "", F.col("module"))))
-    rows = imports.select("project", "path", "line", "names", own.alias("source"), full.alias("wanted"), F.monotonically_increasing_id().alias("id"))
+    rows = imports.select("project", "path", "line", "names", own.alias("source"), full.alias("wanted"), "id")
     named = F.transform("names", lambda n: F.struct(F.concat_ws(".", "wanted", n).alias("key"), (F.size(F.split("wanted", r"\.")) + 1).alias("depth")))
     above = F.transform(C.prefixes(F.col("wanted")), lambda p: F.struct(p.alias("key"), F.size(F.split(p, r"\.")).alias("depth")))
     keys = rows.where("wanted <> ''").select("project", "id", F.explode(F.concat(named, above)).alias("k"))
@@ -52,10 +60,13 @@ def coupling(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def coupling_summary(metrics: DataFrame) -> DataFrame:
+    """Modules and orphans over all; where the nodes have ``is_test``, the rest leaves test modules out (0 if there are no others)."""
+    own = F.when(~F.col("is_test"), F.col("instability")) if "is_test" in metrics.columns else F.col("instability")
+    metrics = metrics.withColumn("own", own)
     count = lambda c: F.sum(F.when(c, 1).otherwise(0))
     return metrics.groupBy("project").agg(
-        F.count(F.lit(1)).alias("modules"), count(F.col("orphan")).alias("orphans"), F.avg("instability").alias("avg_instability"), F.expr("percentile(instability, 0.5)").alias("median_instability"),
-        count((F.col("instability") == 0) & (F.col("ca") > 0)).alias("stable"), count((F.col("instability") == 1) & (F.col("ce") > 0)).alias("unstable"),
+        F.count(F.lit(1)).alias("modules"), count(F.col("orphan")).alias("orphans"), F.coalesce(F.avg("own"), F.lit(0.0)).alias("avg_instability"), F.coalesce(F.expr("percentile(own, 0.5)"), F.lit(0.0)).alias("median_instability"),
+        count((F.col("own") == 0) & (F.col("ca") > 0)).alias("stable"), count((F.col("own") == 1) & (F.col("ce") > 0)).alias("unstable"),
     )
 
 
@@ -86,11 +97,11 @@ def impact(edges: DataFrame, changed: DataFrame, max_depth: int = 10) -> DataFra
     return seen.where("depth > 0")
 
 
-def components(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """``project``, ``node`` and ``root``, the least node it is connected with; labels halve their distance each round."""
     both = save(edges.select("project", F.col("src").alias("a"), F.col("dst").alias("b")).unionAll(edges.select("project", F.col("dst"), F.col("src"))).distinct(), "links")
     labels = save(both.groupBy("project", F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("root")), "labels")
-    for _ in range(max_rounds):
+    while True:
         near = both.join(labels.select("project", F.col("node").alias("b"), "root"), ["project", "b"]).groupBy("project", F.col("a").alias("node")).agg(F.min("root").alias("near"))
         least = labels.join(near, ["project", "node"]).select("project", "node", "root", F.least("root", "near").alias("low"))
         # a label's own label is as good: this is the shortcut

@@ -142,13 +142,13 @@ def hotspots(churned: DataFrame, complexity: DataFrame) -> DataFrame:
     """Product of churn and complexity, each scaled to 0..1 in its project (0.5 where all are alike), with risk and category."""
     changed = F.col("added") + F.col("deleted")
     rows = churned.join(complexity, ["project", "path"]).withColumn("churn", F.sqrt(F.col("commits").cast("double")) * F.sqrt(changed.cast("double")))
-    whole = Window.partitionBy("project")
+    ends = rows.groupBy("project").agg(*(f(c).alias(f"{f.__name__}_{c}") for c in ("churn", "max_cc") for f in (F.min, F.max)))
 
     def scaled(c: str) -> Column:
-        low, high = F.min(c).over(whole), F.max(c).over(whole)
+        low, high = F.col(f"min_{c}"), F.col(f"max_{c}")
         return F.when(high == low, 0.5).otherwise((F.col(c) - low) / (high - low))
 
-    rows = rows.withColumn("x", scaled("churn")).withColumn("y", scaled("max_cc")).withColumn("hotspot", F.col("x") * F.col("y"))
+    rows = rows.join(ends, "project").withColumn("x", scaled("churn")).withColumn("y", scaled("max_cc")).withColumn("hotspot", F.col("x") * F.col("y"))
     risk = C.steps(F.col("hotspot"), [(0.7, "critical"), (0.4, "high"), (0.2, "medium")], "low")
     x, y = F.col("x"), F.col("y")
     category = F.when((x >= 0.6) & (y >= 0.6), "dual").when(y >= 0.6, "complexity_driven").when(x >= 0.6, "churn_driven").otherwise("balanced")
@@ -181,7 +181,7 @@ def commit_scores(commits: DataFrame, findings: DataFrame, complexity: DataFrame
 def exact_clones(blocks: DataFrame) -> DataFrame:
     """Groups of blocks that are alike but for names and literals; one hash shuffle, no pairs."""
     return blocks.groupBy("project", F.sha2("normalized", 256).alias("shape")).agg(
-        F.count(F.lit(1)).alias("members"), F.countDistinct("source").alias("sources"), (F.sum(F.col("end_line") - F.col("start_line") + 1) - F.max(F.col("end_line") - F.col("start_line") + 1)).alias("duplicated_lines"),
+        F.count(F.lit(1)).alias("members"), F.countDistinct(F.sha2("source", 256)).alias("sources"), (F.sum(F.col("end_line") - F.col("start_line") + 1) - F.max(F.col("end_line") - F.col("start_line") + 1)).alias("duplicated_lines"),
     ).where("members > 1").withColumn("kind", F.when(F.col("sources") == 1, "type-1").otherwise("type-2"))
 
 

@@ -17,6 +17,7 @@ from ..operators import extract as E
 from ..operators import graph as G
 from ..operators import quality as Q
 from ..operators import tabular as T
+from ..session import save
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -52,7 +53,9 @@ def generated(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("def "), name, F.lit("("), params, F.lit(")"), F.when(size % 3 == 1, F.lit(" -> int")).otherwise(F.lit("")), F.lit(":\n"),
         F.when(size % 2 == 1, F.lit('    """Doc of a part."""\n')).otherwise(F.lit("")), branches, inside, F.lit("return x\n"), often(13, F.concat(inside, F.lit("x = 0\n"))),
     )
-    return table(spark, sf_dir, "part").select(F.col("p_brand").alias("project"), F.concat(F.lit("m"), k, F.lit(".py")).alias("path"), content.alias("content"))
+    # rows are small here and dear to parse later
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_brand").repartition(spark.sparkContext.defaultParallelism)
+    return parts.select(F.col("p_brand").alias("project"), F.concat(F.lit("m"), k, F.lit(".py")).alias("path"), content.alias("content"))
 
 
 SCORE_SQL = "CASE WHEN {0} >= {1} THEN 'A' WHEN {0} >= {2} THEN 'B' WHEN {0} >= {3} THEN 'C' WHEN {0} >= {4} THEN 'D' ELSE 'F' END"
@@ -117,7 +120,7 @@ def security_score(spark, d):
   UNION ALL SELECT p_brand, 'unreachable-code', 'medium' FROM part WHERE p_size % 13 = 0
   UNION ALL SELECT p_brand, 'unused-argument', 'info' FROM part, range(1, 5) AS t(i) WHERE i <= p_size % 4 + CAST(p_size % 7 = 0 AS INT)) GROUP BY ALL""")
 def dead_code_counts(spark, d):
-    found = Q.dead_code(generated(spark, d), E.extract(generated(spark, d), "dead", "definitions"))
+    found = Q.dead_code(generated(spark, d), save(E.extract(generated(spark, d), "dead", "definitions"), "facts"))
     return found.groupBy("project", "category", "severity").agg(F.count(F.lit(1)).alias("findings"))
 
 

@@ -228,3 +228,29 @@ def test_near_clones_are_those_of_all_pairs(spark):
 def test_case_conversion(spark, name, snake, camel):
     row = spark.createDataFrame([(name,)], "n string").select(C.to_snake(F.col("n")), C.to_camel(F.col("n"))).first()
     assert tuple(row) == (snake, camel)
+
+
+def test_src_counts_only_where_it_is_a_package(spark):
+    paths = [("a", "src/lib/core.py"), ("b", "src/lib/core.py"), ("b", "src/__init__.py"), ("a", "src/lib/__init__.py"), ("a", "setup.py")]
+    files = spark.createDataFrame([(*p, "") for p in paths], "project string, path string, content string")
+    got = {(r.project, r.module) for r in graph.modules(files).collect()}
+    assert got == {("a", "lib.core"), ("a", "lib"), ("a", "setup"), ("b", "src.lib.core"), ("b", "src")}
+    imports = spark.createDataFrame([("a", "src/lib/__init__.py", 1, "core", True, 1, ["x"]), ("a", "setup.py", 1, "lib.core", False, 0, [])], "project string, path string, line int, module string, is_relative boolean, level int, names array<string>")
+    assert {(r.module, r.target) for r in graph.resolve(files, imports).collect()} == {("lib", "lib.core"), ("setup", "lib.core")}
+
+
+def test_coupling_summary_leaves_test_modules_out(spark):
+    paths = [("lib/a.py",), ("lib/tests/b.py",), ("test_c.py",), ("lib/contest.py",), ("d_test.py",)]
+    flags = spark.createDataFrame(paths, "path string").select("path", C.is_test_path(F.col("path")).alias("is_test")).collect()
+    assert {r.path for r in flags if r.is_test} == {"lib/tests/b.py", "test_c.py", "d_test.py"}
+    nodes = spark.createDataFrame([("p", "a", False), ("p", "b", False), ("p", "t", True)], "project string, node string, is_test boolean")
+    edges = spark.createDataFrame([("p", "a", "b"), ("p", "t", "a")], "project string, src string, dst string")
+    row = graph.coupling_summary(graph.coupling(nodes, edges)).first()
+    assert (row.modules, row.avg_instability, row.median_instability, row.stable, row.unstable) == (3, 0.25, 0.25, 1, 0)
+
+
+def test_secret_names_and_placeholders(spark):
+    names = ["DB_PWD", "AUTH_USER", "MY_CRED", "DATABASE_URL", "CONNECTION_STRING", "AWS_ACCESS_KEY", "PORT", "HOSTNAME"]
+    assert [r[0] for r in spark.createDataFrame([(n,) for n in names], "n string").select(F.col("n").rlike(C.SECRET_NAME)).collect()] == [True] * 6 + [False] * 2
+    values = ["change_me", "REPLACE_THIS", "...", "<key>", "your-key", "s3cr3t", "a..."]
+    assert [r[0] for r in spark.createDataFrame([(v,) for v in values], "v string").select(F.col("v").rlike(C.PLACEHOLDER_VALUE)).collect()] == [True] * 5 + [False] * 2
