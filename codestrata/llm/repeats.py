@@ -7,18 +7,19 @@ words has an anchor inside, the same one in each document. Around anchors that
 two different texts share, a segment is cut that holds every such passage
 through the anchor, and the segments of one anchor meet in one task.
 
-There they form a collection, whose Burrows-Wheeler order is built column by
-column (Bauer, Cox and Rosone; with common prefixes, Cox et al.). Round ``j``
-inserts for every segment its suffix of ``j`` words, so one symbol each. The
-collection is a sequence of blocks with, for every suffix in order, its first
-symbol, the place of its own suffix shorter by one, and the length of the
-prefix it shares with the suffix before it. A round goes through the blocks in
-sequence: once to find the places, once for the least common prefixes between
-them, once to write the blocks anew. The blocks are files in the shared folder,
-for collections of every size.
-
-Runs of suffixes that share ``MIN_WORDS`` words and come from two different
-documents are repeats.
+There they are a collection that is aligned at the anchor, since a passage through
+the anchor has it at the same place in every text. Its suffix order is built
+column by column, from the last to the first (Bauer, Cox and Rosone; with common
+prefixes, Cox et al.), by :func:`aligned_order`: a column's order is that of the
+column after it, sorted by the words in the column. As suffixes of different
+columns never share a passage at one anchor, a column replaces the one after it:
+the work is one step for each word, and what is held is an order and a common
+prefix for each segment. :func:`construct` keeps the suffixes of all columns in
+one order, in blocks that are files, at a cost of the square of a segment's words;
+the tests hold the aligned order against it.
+
+Segments that share ``MIN_WORDS`` words from a column on and come from two
+different documents have a repeat there.
 
 Defined results: one row for each maximal span of a document that is covered by
 passages of at least ``min_words`` words that another document has too.
@@ -40,7 +41,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import hash_words, mix64, save, shared_folder, starts_of, table, text_chunks
+from .common import hash_words, mix64, save, starts_of, table, text_chunks
 
 MIN_WORDS = 50
 #: Words of a run; anchors are runs.
@@ -246,43 +247,75 @@ def merged(store: Blocks, key: np.ndarray, string: np.ndarray, into: np.ndarray,
         yield from zip(*(np.array_split(c, pieces) for c in block))
 
 
-def repeated(group: list[tuple[int, int, int, int, bytes]], min_words: int, folder: str) -> list[tuple]:
-    """(row, start, end, first id) of the shared passages among segments (anchor, row, first id, start, words)."""
-    members: dict[tuple[int, bytes], list[tuple[int, int, int]]] = {}
-    for anchor, row, first, start, data in group:
-        members.setdefault((anchor, data), []).append((row, first, start))
-    texts = [np.frombuffer(data, "<u4") for _, data in members]
-    lists = list(members.values())
-    lengths = np.array([len(t) for t in texts], np.int64)
-    string, length, lcp = construct(np.concatenate(texts), lengths, folder)
-    low = np.array([min(r for r, _, _ in x) for x in lists])
-    high = np.array([max(r for r, _, _ in x) for x in lists])
-    first = np.array([min(f for _, f, _ in x) for x in lists])
-    enough = np.flatnonzero(length >= min_words)
-    if not len(enough):
-        return []
-    string, length = string[enough], length[enough]
-    begins = np.concatenate([[0], np.flatnonzero(lcp[enough[1:]] < min_words) + 1])
-    # suffixes too short to count stand before all longer ones with their words, so neighbours in `enough` that share the words are neighbours in order
-    run_low, run_high = np.minimum.reduceat(low[string], begins), np.maximum.reduceat(high[string], begins)
-    run_first = np.minimum.reduceat(first[string], begins)
-    size = np.diff(np.append(begins, len(string)))
-    good = np.repeat(run_low != run_high, size)
-    string, offset, least = string[good], lengths[string[good]] - length[good], np.repeat(run_first, size)[good]
-    out = []
-    order = np.lexsort((offset, string))
-    string, offset, least = string[order], offset[order], least[order]
-    cut = np.flatnonzero((np.diff(string, prepend=-1) != 0) | (np.diff(offset, prepend=-9) != 1))
-    for a, b in zip(cut, np.append(cut[1:], len(string))):
-        begin, end, own = int(offset[a]), int(offset[b - 1]) + min_words, int(least[a:b].min())
-        out += [(row, start + begin, start + end, own) for row, _, start in lists[string[a]]]
-    return list(set(out))
+def least_in(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The least of ``values[low:high]`` for each pair, none of them empty; by runs of doubling width."""
+    out = np.empty(len(low), values.dtype)
+    level = np.frexp(high - low)[1] - 1
+    for k in range(int(level.max(initial=-1)) + 1):
+        on = np.flatnonzero(level == k)
+        out[on] = np.minimum(values[low[on]], values[high[on] - (1 << k)])
+        values = np.minimum(values[: -(1 << k)], values[1 << k :])
+    return out
+
+
+def aligned_order(words: np.ndarray, begins: np.ndarray, lengths: np.ndarray, columns: np.ndarray, width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each of ``width`` columns, from the last to the first, the strings in the order of their suffixes from there, and the common prefix of each with the one before.
+
+    String ``i`` has ``lengths[i]`` of ``words`` from ``begins[i]`` on, and its
+    first one stands in column ``columns[i]``. Outside of itself it has marks of
+    its own, which are less than any word. A column's order is that of the next
+    one, sorted by the column's symbols.
+    """
+    n = len(lengths)
+    order, common = np.arange(n), np.zeros(n, np.int32)
+    low_bits, place = np.uint64(31), np.arange(n, dtype=np.uint64)
+    for c in range(width - 1, -1, -1):
+        inside = np.flatnonzero((columns <= c) & (c < columns + lengths))
+        symbol = np.zeros(n, np.uint64)
+        symbol[inside] = words[begins[inside] + (c - columns[inside])].astype(np.uint64) + np.uint64(1)
+        key = np.sort(symbol[order] << low_bits | place)
+        source, symbol = (key & np.uint64((1 << 31) - 1)).astype(np.int64), key >> low_bits
+        same = np.flatnonzero((symbol[1:] == symbol[:-1]) & (symbol[1:] > 0))
+        new = np.zeros(n, np.int32)
+        new[same + 1] = 1 + least_in(common, source[same] + 1, source[same + 1] + 1)
+        order, common = order[source], new
+        yield c, order, common
+
+
+def repeated(group: pa.Table, min_words: int, run: int) -> list[np.ndarray]:
+    """Row, start, end and first id of the shared passages among segments (anchor, row, first, start, at, words)."""
+    rows, firsts, starts, at = (group.column(c).to_numpy() for c in ("row", "first", "start", "at"))
+    data = group.column("words").to_pylist()
+    lengths = np.array([len(x) // 4 for x in data], np.int64)
+    words, n = np.frombuffer(b"".join(data), "<u4"), len(data)
+    columns = (min_words - run) - at.astype(np.int64)
+    origin = starts - columns  # a string's place in its text is this and the column
+    end, least = np.full(n, -1), np.full(n, NO_ID)
+    out: list[tuple[np.ndarray, ...]] = []
+
+    def close(which: np.ndarray, c: int) -> None:
+        out.append((rows[which], origin[which] + c, origin[which] + end[which], least[which]))
+        end[which], least[which] = -1, NO_ID
+
+    for c, order, common in aligned_order(words, starts_of(lengths)[:-1], lengths, columns, 2 * min_words - run):
+        if c > min_words - run:
+            continue  # what begins behind the anchor doesn't hold it
+        begins = np.flatnonzero(common < min_words)
+        low, high, first = np.minimum.reduceat(rows[order], begins), np.maximum.reduceat(rows[order], begins), np.minimum.reduceat(firsts[order], begins)
+        size = np.diff(np.append(begins, n))
+        good = np.repeat(low != high, size)
+        covered, own = order[good], np.repeat(first, size)[good]
+        ended = end >= 0
+        ended[covered] = False
+        close(np.flatnonzero(ended), c + 1)
+        end[covered] = np.where(end[covered] < 0, c + min_words, end[covered])
+        least[covered] = np.minimum(least[covered], own)
+    close(np.flatnonzero(end >= 0), 0)
+    return [np.concatenate(x) for x in zip(*out)]
 
 
 def find_repeats(docs: DataFrame, min_words: int = MIN_WORDS, run: int = RUN) -> DataFrame:
     """``doc_id``, ``start_word``, ``end_word``, ``n_words`` and ``first_doc_id`` (the least id that shares a part) of every repeated span."""
-    spark = docs.sparkSession
-    folder = shared_folder(spark)
     slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).select("doc_id", F.xxhash64("text").alias("row"), "text")
     sampled = save(slim.mapInArrow(lambda batches: sample(batches, min_words, run), "doc_id bigint, row bigint, n_words int, anchors array<bigint>, places array<int>"), "anchors")
     each = sampled.select("row", F.explode(F.arrays_zip("anchors", "places")).alias("a")).select("row", F.col("a.anchors").alias("anchor"), F.col("a.places").alias("place"))
@@ -292,13 +325,13 @@ def find_repeats(docs: DataFrame, min_words: int = MIN_WORDS, run: int = RUN) ->
     wanted = save(of_text.join(firsts, "row").select(F.col("row").alias("w_row"), "first", F.col("found.anchor").alias("anchors"), F.col("found.place").alias("places")), "wanted")
     texts = slim.join(wanted, (F.col("row") == F.col("w_row")) & slim["doc_id"].eqNullSafe(F.col("first")))
     texts = texts.select("row", "text", F.coalesce("first", F.lit(NO_ID)).alias("first"), "anchors", "places")
-    segments = texts.mapInArrow(lambda batches: cut_segments(batches, min_words, run), "anchor bigint, row bigint, first bigint, start int, words binary")
+    segments = texts.mapInArrow(lambda batches: cut_segments(batches, min_words, run), "anchor bigint, row bigint, first bigint, start int, at int, words binary")
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shape = pa.schema([("row", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("first", pa.int64())])
         for group in whole_groups(batches):
-            out = repeated(group, min_words, folder)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * 4, shape)], schema=shape)
+            out = repeated(group, min_words, run)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, shape)], schema=shape)
 
     spans = segments.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(kernel, "row bigint, start int, end int, first bigint").distinct()
     order = Window.partitionBy("row").orderBy("start", "end")
@@ -326,7 +359,7 @@ def sample(batches: Iterator[pa.RecordBatch], min_words: int, run: int) -> Itera
 
 def cut_segments(batches: Iterator[pa.RecordBatch], min_words: int, run: int) -> Iterator[pa.RecordBatch]:
     """From each anchor, the words that any passage through it can have."""
-    names = ["anchor", "row", "first", "start", "words"]
+    names = ["anchor", "row", "first", "start", "at", "words"]
     for part, texts in text_chunks(batches):
         hashes, counts = hash_words(texts)
         small, starts = (hashes >> np.uint64(32)).astype("<u4"), starts_of(counts)
@@ -336,22 +369,28 @@ def cut_segments(batches: Iterator[pa.RecordBatch], min_words: int, run: int) ->
             words = small[starts[i] : starts[i + 1]]
             for key, place in zip(keys, places):
                 begin = max(0, place - (min_words - run))
-                out.append((key, rows[i], firsts[i], begin, words[begin : place + min_words].tobytes()))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 5, kinds)], names=names)
+                out.append((key, rows[i], firsts[i], begin, place - begin, words[begin : place + min_words].tobytes()))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 6, kinds)], names=names)
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], size: int = BATCH) -> Iterator[list[tuple]]:
-    """Rows in lists of about ``size``, never parting those of one anchor."""
-    held: list[tuple] = []
+def whole_groups(batches: Iterator[pa.RecordBatch], size: int = BATCH) -> Iterator[pa.Table]:
+    """Tables of about ``size`` rows, never parting those of one anchor, which stand together."""
+    held: list[pa.RecordBatch] = []
+    n, last = 0, None
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns)):
-            if len(held) >= size and row[0] != held[-1][0]:
-                yield held
-                held = []
-            held.append(row)
+        if not batch.num_rows:
+            continue
+        keys, at = batch.column(0).to_numpy(), 0
+        new = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+        for i in ([] if last is None or keys[0] == last else [0]) + new.tolist():
+            if n + i - at >= size:
+                yield pa.Table.from_batches([*held, batch.slice(at, i - at)])
+                held, n, at = [], 0, i
+        held.append(batch.slice(at))
+        n, last = n + batch.num_rows - at, keys[-1]
     if held:
-        yield held
+        yield pa.Table.from_batches(held)
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

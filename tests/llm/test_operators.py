@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 import re
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -304,6 +305,33 @@ def test_construction_in_memory_and_in_files(seed, tmp_path, monkeypatch):
         assert lcp.tolist() == common_prefixes
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_aligned_order_is_that_of_the_whole_construction(seed):
+    r = np.random.default_rng(seed)
+    lengths = r.integers(0, 9, r.integers(1, 14))
+    columns = r.integers(0, 4, len(lengths))
+    words, begins = r.integers(0, 3, lengths.sum()).astype("u4"), common.starts_of(lengths)[:-1]
+    string, length, lcp = repeats.construct(words, lengths)
+    place = {(i, j): k for k, (i, j) in enumerate(zip(string.tolist(), length.tolist()))}
+    for c, order, shared in repeats.aligned_order(words, begins, lengths, columns, 13):
+        at = [place[i, max(0, int(columns[i] + lengths[i]) - c)] for i in order.tolist() if columns[i] <= c < columns[i] + lengths[i]]
+        assert at == sorted(at)
+        assert shared[len(order) - len(at) :][1:].tolist() == [int(lcp[a + 1 : b + 1].min()) for a, b in zip(at, at[1:])]
+
+
+def test_one_anchor_of_many_different_segments_takes_a_step_for_each_word():
+    n, r = 20_000, np.random.default_rng(5)
+    words = r.integers(0, 1 << 32, (n, 80), dtype="u4")
+    words[:, 25:75] = words[0, 25:75]
+    words[-1, 74] += 1
+    one = pa.table({"anchor": [1] * n, "row": range(n), "first": range(100, 100 + n), "start": [7] * n, "at": [30] * n, "words": [x.tobytes() for x in words]})
+    one = one.cast(pa.schema([("anchor", pa.int64()), ("row", pa.int64()), ("first", pa.int64()), ("start", pa.int32()), ("at", pa.int32()), ("words", pa.binary())]))
+    began = time.process_time()
+    found = repeats.repeated(one, 50, 20)
+    assert time.process_time() - began < 4
+    assert {x for x in zip(*(c.tolist() for c in found))} == {(i, 32, 82, 100) for i in range(n - 1)}
+
+
 def test_repeats_odd_input(spark):
     docs = odd_documents(spark)
     assert repeats.find_repeats(docs).count() == 0  # repeated rows are one document
