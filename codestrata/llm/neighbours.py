@@ -1,13 +1,17 @@
 """Approximate nearest neighbours by collision counting (query-aware hashing).
 
-Each of ``PROJECTIONS`` Gaussian directions is a hash function of its own: the
-vectors of a shard stand in a sorted array of their projections. A query
-centres a window on its own projection in every array; a vector inside collides
-with it there. Virtual rehashing widens the windows with the radius, so only
-what comes in on either side is counted. A vector within the radius collides
-with probability ``erf(WIDTH / sqrt(2))`` in each array, so one that collides in
-``SHARE`` of them is verified by its distance. A query ends when its ``k``-th
-best distance is within the radius.
+Each of ``PROJECTIONS`` Gaussian directions is a hash function of its own. A
+query centres a window on its own projection in every one; a vector inside
+collides with it there. Virtual rehashing widens the windows with the radius. A
+vector within the radius collides with probability ``erf(WIDTH / sqrt(2))`` in
+each projection, so one that collides in ``SHARE`` of them is verified by its
+distance. A query ends when its ``k``-th best distance is within the radius.
+
+A shard's projections are kept as cells of one byte, so that the collisions of
+all its vectors with a query are counted by comparing bytes; windows are rounded
+outwards, so no collision is lost. Distances are first taken from one matrix
+product for a block of queries, and those that can be among the best are
+computed anew from the vectors.
 
 Queries are the rows whose id is divisible by ``QUERY_EVERY``; every row is
 indexed. Rows are sorted by their first projection (and id, so that equal
@@ -47,6 +51,8 @@ WIDTH, SHARE, GROWTH = 1.0, 0.55, 1.3
 #: First radius as a share of the root mean square distance of two vectors of a shard.
 FIRST = 0.2
 SHARD = 4096
+#: Cells of a projection's range in a shard; a window's ends are rounded to whole cells, outwards.
+CELLS = 253
 #: Ids of the queries, projections in which a query must reach a shard's range, and queries of a block.
 QUERY_EVERY, RANGES, QUERY_BLOCK = 50, 8, 65_536
 SEED = 7
@@ -62,57 +68,61 @@ def directions(dim: int) -> np.ndarray:
 
 
 class Index:
-    """The sorted projections of one shard."""
+    """The projections of one shard, as cells of a grid that is so fine that a window is a run of them."""
 
     def __init__(self, vectors: np.ndarray):
         self.vectors = vectors.astype(np.float64)
         self.projected = self.vectors @ directions(vectors.shape[1])
-        order = np.argsort(self.projected, axis=0, kind="stable")
-        self.order = np.ascontiguousarray(order.T)
-        self.sorted = np.ascontiguousarray(np.take_along_axis(self.projected, order, 0).T)
+        self.low = self.projected.min(0)
+        step = (self.projected.max(0) - self.low) / CELLS
+        self.step = np.where(step > 0, step, 1.0)
+        self.cells = np.ascontiguousarray(self.cell(self.projected).T)
+        self.middle = self.vectors.mean(0)
+        self.centred = self.vectors - self.middle
+        self.squares = (self.centred**2).sum(1)
         spread = np.sqrt(2 * self.vectors.var(0).sum())
         self.first = FIRST * spread if spread > 0 else 1.0
 
+    def cell(self, projected: np.ndarray) -> np.ndarray:
+        """From 1 on; 0 and 255 are outside."""
+        return np.clip(np.floor((projected - self.low) / self.step) + 1, 0, 255).astype(np.uint8)
+
     def search(self, queries: np.ndarray, projected: np.ndarray, bound: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each query the places and distances of its best ``k`` within ``bound`` (its k-th best elsewhere)."""
-        n, need = len(self.vectors), int(np.ceil(SHARE * PROJECTIONS))
-        counts = np.zeros((len(queries), n), np.uint8)
-        mid = np.stack([np.searchsorted(s, p) for s, p in zip(self.sorted, projected.T)], 1)
-        low, high = mid.copy(), mid.copy()
-        seen = [np.empty(0, np.int64) for _ in queries]
-        best = [(np.empty(0, np.int64), np.empty(0)) for _ in queries]
-        kth = bound.copy()
-        open_queries, radius = np.arange(len(queries)), self.first
-        while len(open_queries):
-            # no window needs to be wider than the k-th best distance
-            r = np.minimum(radius, kth[open_queries])
-            half = WIDTH * r[:, None]
-            left = np.stack([np.searchsorted(s, p) for s, p in zip(self.sorted, (projected[open_queries] - half).T)], 1)
-            right = np.stack([np.searchsorted(s, p, "right") for s, p in zip(self.sorted, (projected[open_queries] + half).T)], 1)
-            still = []
-            for j, q in enumerate(open_queries.tolist()):
-                parts = [o[a:b] for o, a, b in zip(self.order, left[j].tolist(), low[q].tolist()) if a < b]
-                parts += [o[a:b] for o, a, b in zip(self.order, high[q].tolist(), right[j].tolist()) if a < b]
-                low[q], high[q] = np.minimum(left[j], low[q]), np.maximum(right[j], high[q])
-                if parts:
-                    counts[q] += np.bincount(np.concatenate(parts), minlength=n).astype(np.uint8)
-                    found = np.flatnonzero(counts[q] >= need)
-                    new = np.setdiff1d(found, seen[q], assume_unique=True)
-                    if len(new):
-                        seen[q] = found
-                        places = np.concatenate([best[q][0], new])
-                        distances = np.concatenate([best[q][1], np.sqrt(((self.vectors[new] - queries[q]) ** 2).sum(1))])
-                        top = np.lexsort((places, distances))
-                        cut = distances[top[min(k, len(top)) - 1]] if len(top) else 0.0
-                        top = top[distances[top] <= cut]  # with ties at the end, as ids decide later
-                        best[q] = places[top], distances[top]
-                        if len(top) >= k:
-                            kth[q] = min(kth[q], cut)
-                all_in = (low[q] == 0).all() and (high[q] == n).all()
-                if r[j] < kth[q] and not all_in:
-                    still.append(q)
-            open_queries, radius = np.array(still, np.int64), radius * GROWTH
-        return best
+        """For each query the places and distances of its best ``k`` within ``bound`` (its k-th best elsewhere).
+
+        A query with a bound begins with windows of that radius, as wide as they
+        can matter; any other begins with narrow ones.
+        """
+        need = int(np.ceil(SHARE * PROJECTIONS))
+        moved = queries - self.middle
+        own = (moved**2).sum(1)
+        slack = 1e-9 * (own + self.squares.max(initial=0.0))
+        rough = self.squares - 2 * (moved @ self.centred.T) + own[:, None]
+        gap, inside = np.empty_like(self.cells), np.empty(self.cells.shape, bool)
+        out = []
+        for q, (near, kth) in enumerate(zip(rough, bound.tolist())):
+            radius = kth if np.isfinite(kth) else self.first
+            while True:
+                # no window needs to be wider than the k-th best distance
+                r = min(radius, kth)
+                left, right = self.cell(projected[q] - WIDTH * r), self.cell(projected[q] + WIDTH * r)
+                np.subtract(self.cells, left[:, None], out=gap)
+                np.less_equal(gap, (right - left)[:, None], out=inside)
+                counts = np.add.reduce(inside.view(np.uint8), axis=0, dtype=np.uint8)
+                found = np.flatnonzero((counts >= need) & (near <= kth * kth + slack[q]))
+                if len(found) > k:
+                    found = found[near[found] <= np.partition(near[found], k - 1)[k - 1] + 2 * slack[q]]
+                distances = np.sqrt(((self.vectors[found] - queries[q]) ** 2).sum(1))
+                top = np.lexsort((found, distances))
+                cut = min(kth, distances[top[min(k, len(top)) - 1]]) if len(top) else 0.0
+                top = top[distances[top] <= cut]  # with ties at the end, as ids decide later
+                if len(top) >= k:
+                    kth = min(kth, cut)
+                if r >= kth or ((left <= 1) & (right >= CELLS + 1)).all():
+                    break
+                radius *= GROWTH
+            out.append((found[top], distances[top]))
+        return out
 
 
 def usable(embeddings: DataFrame) -> tuple[DataFrame, int]:

@@ -397,6 +397,22 @@ def test_neighbours_of_the_query_set_of_the_whole_table(spark):
     assert np.mean(right) >= 0.95
 
 
+def test_a_shard_is_searched_faster_than_all_its_distances_are_computed():
+    r = np.random.default_rng(9)
+    x, points = r.standard_normal((4096, 64)), r.standard_normal((400, 64))
+    began = time.thread_time()
+    d = np.array([np.sqrt(((x - p) ** 2).sum(1)) for p in points])
+    plain = time.thread_time() - began
+    best = np.argsort(d, 1)[:, :10]
+    bounds = np.sort(d, 1)[:, 14]
+    index = neighbours.Index(x)
+    began = time.thread_time()
+    got = index.search(points, points @ neighbours.directions(64), bounds, 10)
+    assert time.thread_time() - began < plain
+    assert np.mean([len(set(b.tolist()) & set(places.tolist())) / 10 for b, (places, _) in zip(best, got)]) >= 0.95
+    assert all(abs(row[n] - y) < 1e-9 and y <= bound for row, bound, (places, ys) in zip(d, bounds, got) for n, y in zip(places.tolist(), ys.tolist()))
+
+
 def test_neighbours_of_few_and_repeated_rows(spark):
     rows = [(1, [0.0, 1.0]), (1, [0.0, 1.0]), (None, [3.0, 1.0])]
     table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
