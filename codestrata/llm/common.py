@@ -113,6 +113,12 @@ def give_back() -> None:
         trim(0)
 
 
+def give_back_heaps(spark: SparkSession) -> None:
+    """Have every executor collect its garbage, which returns the heap's free room to the system: heaps grow to their limit and stay there, next to the Python workers."""
+    slots = spark.sparkContext.defaultParallelism
+    spark.range(0, slots, 1, slots).selectExpr("reflect('java.lang.System', 'gc')").collect()
+
+
 def text_chunks(batches: Iterator[pa.RecordBatch], column: int = 1, most: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list]]:
     """:func:`byte_chunks` with the texts as Python strings."""
     for part in byte_chunks(batches, column, most):

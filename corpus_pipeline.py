@@ -11,10 +11,26 @@ the last; only ``doc_id``, ``text`` and ``source`` are read.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from codestrata.llm import decontaminate, minhash, mixing, token_binary, toxicity
-from codestrata.llm.common import discard_but, save, saved_paths, table
+from codestrata.llm.common import discard_but, give_back_heaps, save, saved_paths, table
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def rested(stage: Stage) -> Stage:
+    """The stage, begun on executors that gave back what the stages before it left in their heaps."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        give_back_heaps(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,10 +60,10 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("toxicity", drop_toxic),
-    ("near duplicates", drop_near_duplicates),
-    ("decontamination", drop_contaminated),
-    ("mixing", mix_sources),
-    ("token binary", encode),
+    ("near duplicates", rested(drop_near_duplicates)),
+    ("decontamination", rested(drop_contaminated)),
+    ("mixing", rested(mix_sources)),
+    ("token binary", rested(encode)),
 ]
 #: Models, fuzzy groups and compressed frames are beyond SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None

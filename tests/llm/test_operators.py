@@ -14,6 +14,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from codestrata.llm import common, decontaminate, line_dedup, minhash, mixing, neighbours, notices, repeats, token_binary, token_counts, toxicity
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -667,3 +668,18 @@ def test_token_counts_odd_input(spark):
     got = {r.doc_id: (r.n_pretokens, r.n_tokens) for r in token_counts.count_tokens(docs).collect()}
     assert got[1] == got[2] == got[3] == (0, 0) and got[4][0] == 30_000 and token_counts.count_tokens(docs).count() == docs.count()
     assert token_counts.count_tokens(docs.limit(0)).count() == 0
+
+
+# pipeline: its stages
+
+
+def test_stages_begin_on_heaps_that_were_given_back(spark):
+    def collections():
+        beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+        return sum(b.getCollectionCount() for b in beans if "Young" not in b.getName() and "Concurrent" not in b.getName())
+
+    for name, stage in corpus_pipeline.STAGES[1:]:
+        before = collections()
+        docs = stage(spark, documents(spark, ["one two", "three"]), "/root/testdata/sf0.001")
+        assert collections() > before, name
+        assert docs.count() <= 2
