@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,12 +102,14 @@ def impact(edges: DataFrame, changed: DataFrame, max_depth: int = 10) -> DataFra
     return seen.where("depth > 0")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """``project``, ``node`` and ``root``, the least node it is connected with; labels halve their distance each round."""
-    both = save(edges.select("project", F.col("src").alias("a"), F.col("dst").alias("b")).unionAll(edges.select("project", F.col("dst"), F.col("src"))).distinct(), "links")
-    labels = save(both.groupBy("project", F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("root")), "labels")
+def least_linked(links: DataFrame) -> DataFrame:
+    """``project``, ``node`` and ``root``, the least node that links ``a`` -> ``b`` lead to, or itself; labels halve their distance each round.
+
+    Nodes without a link of their own are left out.
+    """
+    labels = save(links.groupBy("project", F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("root")), "labels")
     while True:
-        near = both.join(labels.select("project", F.col("node").alias("b"), "root"), ["project", "b"]).groupBy("project", F.col("a").alias("node")).agg(F.min("root").alias("near"))
+        near = links.join(labels.select("project", F.col("node").alias("b"), "root"), ["project", "b"], "left").groupBy("project", F.col("a").alias("node")).agg(F.min(F.coalesce("root", "b")).alias("near"))
         least = labels.join(near, ["project", "node"]).select("project", "node", "root", F.least("root", "near").alias("low"))
         # a label's own label is as good: this is the shortcut
         jump = labels.select("project", F.col("node").alias("low"), F.col("root").alias("far"))
@@ -113,64 +120,157 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
-def cycle_members(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
+    """``project``, ``node`` and ``root``, the least node it is connected with."""
+    return least_linked(save(edges.select("project", F.col("src").alias("a"), F.col("dst").alias("b")).unionAll(edges.select("project", F.col("dst"), F.col("src"))).distinct(), "links"))
+
+
+#: Edges that a task searches for cycles at once; this bounds its memory.
+AT_ONCE = 200_000
+
+
+def strong(src: np.ndarray, dst: np.ndarray, n: int) -> list[int]:
+    """The least node of the strongly connected component of each of the nodes 0 to ``n - 1``."""
+    order = np.argsort(src, kind="stable")
+    after, ends = dst[order].tolist(), np.searchsorted(src[order], np.arange(n + 1)).tolist()
+    turn, number, low, on, root, stack, seen = ends[:], [0] * n, [0] * n, bytearray(n), [0] * n, [], 0
+    for start in range(n):
+        work = [] if number[start] else [start]
+        while work:
+            node = work[-1]
+            if not number[node]:
+                seen += 1
+                number[node] = low[node] = seen
+                on[node] = 1
+                stack.append(node)
+            while turn[node] < ends[node + 1]:
+                nxt = after[turn[node]]
+                turn[node] += 1
+                if not number[nxt]:
+                    work.append(nxt)
+                    break
+                if on[nxt]:
+                    low[node] = min(low[node], number[nxt])
+            else:
+                work.pop()
+                if work:
+                    low[work[-1]] = min(low[work[-1]], low[node])
+                if low[node] == number[node]:
+                    group = []
+                    while not group or group[-1] != node:
+                        group.append(stack.pop())
+                        on[group[-1]] = 0
+                    least = min(group)
+                    for member in group:
+                        root[member] = least
+    return root
+
+
+def contracting(at_once: int):
+    """A function of edges that searches ``at_once`` at a time, or less than twice as many.
+
+    It gives ``project, a, b, merged``: nodes on a cycle with its least node, and edges that are on no cycle of these.
+    """
+
+    def search(held: list[pd.DataFrame]) -> pd.DataFrame:
+        edges = pd.concat(held, ignore_index=True)
+        owner, projects = pd.factorize(edges["project"])
+        code, names = pd.factorize(pd.concat([edges["src"], edges["dst"]], ignore_index=True), sort=True)
+        # sorted, so that the least number is the least node
+        number, keys = pd.factorize(np.tile(owner, 2) * len(names) + code, sort=True)
+        src, dst = np.split(number, 2)
+        root = np.array(strong(src, dst, len(keys)))
+        node = np.flatnonzero(np.bincount(root, minlength=len(keys))[root] > 1)
+        name = lambda n: np.asarray(names)[keys[n] % len(names)]
+        merged = pd.DataFrame({"project": np.asarray(projects)[keys[node] // len(names)], "a": name(node), "b": name(root[node]), "merged": True})
+        apart = edges[root[src] != root[dst]]
+        return pd.concat([merged, pd.DataFrame({"project": apart["project"], "a": apart["src"], "b": apart["dst"], "merged": False})])
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n = [], 0
+        for batch in batches:
+            for at in range(0, len(batch), at_once):
+                held.append(batch.iloc[at : at + at_once])
+                n += len(held[-1])
+                if n >= at_once:
+                    yield search(held)
+                    held, n = [], 0
+        if held:
+            yield search(held)
+
+    return each
+
+
+def with_root(edges: DataFrame, roots: DataFrame, end: str, name: str) -> DataFrame:
+    """``edges`` with the root of one end; a node without any is its own."""
+    return edges.join(roots.select("project", F.col("node").alias(end), F.col("root").alias(name)), ["project", end], "left").withColumn(name, F.coalesce(name, end))
+
+
+def merge(members: DataFrame | None, pairs: DataFrame, edges: DataFrame) -> tuple[DataFrame | None, DataFrame]:
+    """``members`` (``project, node, root``) with the ``pairs`` found of the same columns, and the ``edges`` between roots."""
+    roots = save(pairs.groupBy("project", "node").agg(F.min("root").alias("root"), F.max("root").alias("last")), "roots")
+    if roots.isEmpty():
+        return members, edges
+    # a node searched by two tasks can have two roots, which are on one cycle then
+    torn = pairs.join(roots.where("root <> last").select("project", "node", F.col("root").alias("least")), ["project", "node"]).where("root <> least")
+    linked = with_root(with_root(edges, roots, "src", "s"), roots, "dst", "d").where("s <> d").select("project", F.col("s").alias("src"), F.col("d").alias("dst"))
+    edges = linked.unionAll(torn.select("project", "root", "least")).unionAll(torn.select("project", "least", "root")).distinct()
+    roots = roots.select("project", "node", "root")
+    if members is not None:
+        further = roots.select("project", F.col("node").alias("root"), F.col("root").alias("to"))
+        roots = members.join(further, ["project", "root"], "left").select("project", "node", F.coalesce("to", "root").alias("root")).unionAll(roots.join(members, ["project", "node"], "left_anti"))
+        roots = save(roots, "members")
+    return roots, edges
+
+
+def split(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Whole components as ``project, node, root``, and the edges whose ends may share another one.
+
+    Nodes of one component lead to the same least node and, within those that
+    do, are led to from the same one; where both are one node, it is on a cycle
+    with them.
+    """
+    ahead = least_linked(save(edges.select("project", F.col("src").alias("a"), F.col("dst").alias("b")), "links"))
+    alike = save(with_root(with_root(edges, ahead, "src", "ahead"), ahead, "dst", "other").where("ahead = other").drop("other"), "links")
+    behind = least_linked(alike.select("project", F.col("dst").alias("a"), F.col("src").alias("b")))
+    both = save(with_root(with_root(alike, behind, "src", "s"), behind, "dst", "d"), "links")
+    ends = both.select("project", F.col("src").alias("node"), F.col("s").alias("root"), "ahead").unionAll(both.select("project", "dst", "d", "ahead")).where("root = ahead").distinct()
+    found = ends.where("node <> root").select("project", "node", "root")
+    return found.unionAll(found.select("project", "root", "root").distinct()), both.where("s = d and s <> ahead").select("project", "src", "dst")
+
+
+def cycle_members(edges: DataFrame, at_once: int = AT_ONCE) -> DataFrame:
     """Nodes on a cycle, with the least node of their strongly connected component.
 
-    Nodes with no way in or out go first, round by round; what is left is
-    searched for components in one task for each project.
+    Each task searches ``at_once`` edges at a time and contracts the cycles
+    among them, until what is left fits into one search. Where this doesn't
+    halve the edges, as with long ways without cycles, nodes with no way in or
+    out go, and the rest is split by reachability.
     """
-    now = save(edges.where("src <> dst").select("project", "src", "dst").distinct(), "edges")
-    size = now.count()
-    while True:
-        keep = now.join(now.select("project", F.col("dst").alias("src")).distinct(), ["project", "src"], "left_semi")
-        keep = keep.join(now.select("project", F.col("src").alias("dst")).distinct(), ["project", "dst"], "left_semi")
-        now = save(keep, "edges")
-        left = now.count()
-        if left == size:
+    now = save(edges.where("src <> dst and project is not null").select("project", "src", "dst").distinct(), "edges")
+    kind, size, members = edges.schema["src"].dataType.simpleString(), now.count(), None
+    while size:
+        near = now.coalesce(1) if size <= at_once else now.repartitionByRange(math.ceil(size / at_once), "project", "src", "dst").sortWithinPartitions("project", "src", "dst")
+        found = save(near.mapInPandas(contracting(at_once), f"project string, a {kind}, b {kind}, merged boolean"), "found")
+        members, now = merge(members, found.where("merged").select("project", F.col("a").alias("node"), F.col("b").alias("root")), found.where("not merged").select("project", F.col("a").alias("src"), F.col("b").alias("dst")))
+        if size <= at_once:
             break
+        now = save(now, "edges")
+        left = now.count()
+        if left > max(at_once, size // 2):
+            now = now.join(now.select("project", F.col("dst").alias("src")).distinct(), ["project", "src"], "left_semi")
+            now = save(now.join(now.select("project", F.col("src").alias("dst")).distinct(), ["project", "dst"], "left_semi").select("project", "src", "dst"), "edges")
+            left = now.count()
+        if left > max(at_once, size // 2):
+            pairs, now = split(now)
+            members, now = merge(members, pairs, now)
+            now = save(now, "edges")
+            left = now.count()
         size = left
-    kind = edges.schema["src"].dataType.simpleString()
-
-    def strong(rows):
-        import pandas as pd
-
-        after: dict = {}
-        for a, b in zip(rows["src"], rows["dst"]):
-            after.setdefault(a, []).append(b)
-            after.setdefault(b, [])
-        number, low, stack, on, out = {}, {}, [], set(), []
-        for start in sorted(after):
-            if start in number:
-                continue
-            number[start] = low[start] = len(number)
-            stack.append(start)
-            on.add(start)
-            work = [(start, iter(sorted(after[start])))]
-            while work:
-                node, rest = work[-1]
-                for nxt in rest:
-                    if nxt not in number:
-                        number[nxt] = low[nxt] = len(number)
-                        stack.append(nxt)
-                        on.add(nxt)
-                        work.append((nxt, iter(sorted(after[nxt]))))
-                        break
-                    if nxt in on:
-                        low[node] = min(low[node], number[nxt])
-                else:
-                    work.pop()
-                    if work:
-                        low[work[-1][0]] = min(low[work[-1][0]], low[node])
-                    if low[node] == number[node]:
-                        group = []
-                        while not group or group[-1] != node:
-                            group.append(stack.pop())
-                            on.discard(group[-1])
-                        if len(group) > 1:
-                            out += [(n, min(group), len(group)) for n in group]
-        return pd.DataFrame([(rows["project"].iloc[0], *x) for x in out], columns=["project", "node", "component", "size"])
-
-    return now.groupBy("project").applyInPandas(strong, f"project string, node {kind}, component {kind}, size int")
+    if members is None:
+        return now.select("project", F.col("src").alias("node"), F.col("src").alias("component"), F.lit(1).alias("size")).where(F.lit(False))
+    sizes = members.groupBy("project", "root").agg(F.count(F.lit(1)).cast("int").alias("size"))
+    return members.join(sizes, ["project", "root"]).select("project", "node", F.col("root").alias("component"), "size")
 
 
 def external_packages(resolved: DataFrame) -> DataFrame:

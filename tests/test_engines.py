@@ -161,6 +161,42 @@ def test_cycles_and_impact(spark):
     assert graph.components(edges.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("at_once", [8, 10_000])
+def test_cycles_are_those_of_brute_force_however_few_edges_fit_a_search(spark, at_once):
+    r, edges = random.Random(at_once), set()
+    for project, n, most in (("p", 90, 130), ("q", 60, 75), ("chain", 0, 0)):
+        edges |= {(project, f"n{r.randrange(n):02}", f"n{r.randrange(n):02}") for _ in range(most)}
+    # a hub that no search holds whole, a ring, and a way with a ring at its end
+    edges |= {("hub", *e) for i in range(30) for e in (("h", f"m{i:02}"), (f"m{i:02}", "h"))}
+    edges |= {("ring", f"k{i * 7 % 50:02}", f"k{(i + 1) * 7 % 50:02}") for i in range(50)}
+    edges |= {("chain", f"c{i * 11 % 40:02}", f"c{(i + 1) * 11 % 40:02}") for i in range(39)} | {("chain", "z1", "z2"), ("chain", "z2", "z1")}
+    reach = defaultdict(set)
+    for p, a, b in edges:
+        reach[p, a].add(b)
+    for p, k in list(reach):
+        todo = list(reach[p, k])
+        while todo:
+            new = reach.get((p, todo.pop()), set()) - reach[p, k]
+            reach[p, k] |= new
+            todo += new
+    groups = {(p, a): {a} | {b for b in reach[p, a] if a in reach.get((p, b), ())} for p, a in reach}
+    want = {(p, a, min(g), len(g)) for (p, a), g in groups.items() if len(g) > 1}
+    given = spark.createDataFrame([*edges, (None, "a", "b"), (None, "b", "a"), ("p", None, "n01")], "project string, src string, dst string")
+    got = graph.cycle_members(given, at_once)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert graph.cycle_members(given.limit(0), at_once).count() == 0
+
+
+def test_no_task_searches_a_project_whole():
+    import pandas as pd
+
+    ring = pd.DataFrame({"project": "p", "src": range(1000), "dst": [*range(1, 1000), 0]})
+    got = pd.concat(graph.contracting(100)(iter([ring])))
+    assert len(got) == 1000 and not got["merged"].any()
+    whole = pd.concat(graph.contracting(1000)(iter([ring])))
+    assert len(whole) == 1000 and whole["merged"].all() and set(whole["b"]) == {0}
+
+
 def test_coupling_is_that_of_brute_force(spark):
     r = random.Random(3)
     pairs = {(f"m{r.randrange(60)}", f"m{r.randrange(60)}") for _ in range(400)}
