@@ -23,13 +23,20 @@ def parsed(content: str | None) -> tuple[ast.Module | None, str | None]:
         return None, f"{type(problem).__name__}: {problem}"
 
 
+def listed(rows: list[tuple], ends: list[int], kind: pa.ListType) -> pa.ListArray:
+    """Lists of structs from all their rows and the number of rows up to the end of each list."""
+    fields = list(kind.value_type)
+    cells = list(zip(*rows)) or [()] * len(fields)
+    structs = pa.StructArray.from_arrays([pa.array(c, field.type) for c, field in zip(cells, fields)], fields=fields)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), structs, type=kind)
+
+
 def extract(files: DataFrame, *facets: str) -> DataFrame:
     """``project``, ``path``, ``error`` and one array of structs for each facet.
 
     A null content counts as an empty file; a file that can't be parsed has its
     ``error`` and empty facets. Repeated rows give repeated results.
     """
-    names = {f: T.StructType.fromDDL(SCHEMAS[f]).names for f in facets}
     schema = T.StructType.fromDDL("project string, path string, error string")
     for f in facets:
         schema = schema.add(f, T.ArrayType(T.StructType.fromDDL(SCHEMAS[f])))
@@ -37,15 +44,16 @@ def extract(files: DataFrame, *facets: str) -> DataFrame:
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns: list[list] = [[] for _ in shape]
-            for project, path, content in zip(*(c.to_pylist() for c in batch.columns)):
+            errors, rows, ends = [], [[] for _ in facets], [[0] for _ in facets]
+            for _, path, content in zip(*(c.to_pylist() for c in batch.columns)):
                 tree, error = parsed(content)
-                for column, value in zip(columns, (project, path, error)):
-                    column.append(value)
-                for column, f in zip(columns[3:], facets):
-                    rows = FACETS[f](tree, content or "", path or "") if tree else []
-                    column.append([dict(zip(names[f], row)) for row in rows])
-            yield pa.RecordBatch.from_arrays([pa.array(c, field.type) for c, field in zip(columns, shape)], schema=shape)
+                errors.append(error)
+                for f, found, end in zip(facets, rows, ends):
+                    if tree:
+                        found += FACETS[f](tree, content or "", path or "")
+                    end.append(len(found))
+            lists = [listed(*x) for x in zip(rows, ends, [field.type for field in shape][3:])]
+            yield pa.RecordBatch.from_arrays([*(c.cast(pa.string()) for c in batch.columns[:2]), pa.array(errors, pa.string()), *lists], schema=shape)
 
     return files.select(*(F.col(c).cast("string").alias(c) for c in ("project", "path", "content"))).mapInArrow(kernel, schema)
 

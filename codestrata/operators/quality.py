@@ -184,10 +184,11 @@ def debt_markers(files: DataFrame) -> DataFrame:
 
 
 def debt_score(files: DataFrame) -> DataFrame:
-    totals = lines(files).groupBy("project").agg(F.count(F.lit(1)).alias("lines"))
-    joined = totals.join(weighted(debt_markers(files), "debt"), "project", "left").na.fill(0, ["findings", "weight"])
+    tags = lines(files).select("project", F.upper(F.regexp_extract("text", C.DEBT, 1)).alias("tag"))
+    weight = C.lookup(C.lookup(F.col("tag"), C.DEBT_TAGS), C.WEIGHTS["debt"], 0)
+    totals = tags.groupBy("project").agg(F.count(F.lit(1)).alias("lines"), F.count(F.when(F.col("tag") != "", 1)).alias("findings"), F.sum(weight.cast("double")).alias("weight"))
     score = C.clamped((100 - 5000.0 * F.col("weight") / F.col("lines")).cast("int"))
-    return joined.select("project", "lines", F.col("findings").alias("markers"), score.cast("int").alias("score")).withColumn("grade", C.grade(F.col("score"), "debt"))
+    return totals.select("project", "lines", F.col("findings").alias("markers"), score.cast("int").alias("score")).withColumn("grade", C.grade(F.col("score"), "debt"))
 
 
 def blame_age(markers: DataFrame, blame: DataFrame, today: Column) -> DataFrame:
@@ -213,20 +214,22 @@ def all_scores(files: DataFrame, extracted: DataFrame) -> DataFrame:
     """``project, engine, score, grade`` of the ten engines of the overall grade; one parse for all.
 
     Env files among the ``files`` are read for the environment only. A project
-    that has nothing for an engine to look at scores 100.
+    that has nothing for an engine to look at scores 100. What needs no text
+    reads the paths of the saved facts, as ``files`` may be dear to make again.
     """
     from .extract import rows_of
 
-    env = tabular.is_env_file(F.col("path"))
-    code, kept = files.where(~env), save(extracted.where(~env), "facts")
+    env, saved = tabular.is_env_file(F.col("path")), save(extracted, "facts")
+    paths, kept = saved.select("project", "path"), saved.where(~env)
+    code = kept.select("project", "path")
     table = lambda f: rows_of(kept, f)
     bugs, security = table("bugs"), table("security")
     parts = {
         "complexity": complexity_score(code, table("functions")), "bugs": density_score(code, bugs, "bugs"), "security": density_score(code, security, "security"),
         "naming": naming_score(table("identifiers")), "docstrings": docstring_score(table("entities")), "types": type_score(table("signatures"), table("any_usages"), table("type_ignores")),
-        "debt": debt_score(code), "tests": test_score(table("tests")), "imports": import_score(code, table("imports")), "environment": tabular.environment_of(files),
+        "debt": debt_score(files.where(~env)), "tests": test_score(table("tests")), "imports": import_score(code, table("imports")), "environment": tabular.environment_of(files, paths),
     }
-    every, out = files.select("project").distinct(), None
+    every, out = save(paths.select("project").distinct(), "projects"), None
     for engine, part in parts.items():
         scored = every.join(part.select("project", "score", "grade"), "project", "left").na.fill({"score": 100, "grade": "A"})
         one = scored.select("project", F.lit(engine).alias("engine"), "score", "grade")

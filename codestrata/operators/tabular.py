@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..session import save
 from .extract import lines
 
 # dependencies: deps(project, name, constraint, version, source_file)
@@ -106,7 +107,10 @@ def environment_references(files: DataFrame) -> DataFrame:
     def found(ending: str, pattern: str) -> Column:
         return F.when(F.lower("path").rlike(ending), F.regexp_extract_all("text", F.lit("(?U)" + pattern), F.lit(1))).otherwise(F.array().cast("array<string>"))
 
-    rows = lines(files).where(~F.col("text").rlike(r"^\s*(?:#|//)"))
+    content = F.col("content")
+    # without one of these no pattern matches, so the lines of most files are never made
+    likely = files.where(content.contains("env") | content.contains("config") | content.contains("$"))
+    rows = lines(likely).where(~F.col("text").rlike(r"^\s*(?:#|//)"))
     names = F.flatten(F.array(*(found(ending, p) for ending, patterns in ENV_REFERENCES.items() for p in patterns)))
     return rows.select("project", "path", "line", F.explode(names).alias("name")).where(~F.col("name").isin(*SYSTEM_VARS))
 
@@ -120,13 +124,17 @@ def environment_definitions(files: DataFrame) -> DataFrame:
     return lines(files.where(is_env_file(F.col("path")))).select("project", name.alias("name"), value.alias("value"), F.col("path").alias("file"), "line", kind.alias("kind")).where("name <> ''")
 
 
-def environment_of(files: DataFrame) -> DataFrame:
-    """The score of every project of ``files``; a variable misses in the template only where there is one."""
-    defs, refs = environment_definitions(files), environment_references(files)
+def environment_of(files: DataFrame, paths: DataFrame) -> DataFrame:
+    """The score of every project of ``files``, whose ``project, path`` are ``paths``; a variable misses in the template only where there is one.
+
+    Texts are read once for each of the two tables, which are saved.
+    """
+    defs = save(environment_definitions(files), "definitions")
+    refs = save(environment_references(files).select("project", "name").distinct(), "references")
     templates = defs.where("kind = 'template'").select("project").distinct().withColumn("templates", F.lit(True))
-    findings = environment_findings(defs, refs, files.where(is_env_file(F.col("path")))).join(templates, "project", "left").where("check <> 'missing_template' or templates")
+    findings = environment_findings(defs, refs, paths.where(is_env_file(F.col("path")))).join(templates, "project", "left").where("check <> 'missing_template' or templates")
     names = defs.select("project", "name").union(refs.select("project", "name")).groupBy("project").agg(F.countDistinct("name").alias("variables"))
-    return environment_score(findings, files.select("project").distinct().join(names, "project", "left").na.fill(0, ["variables"]))
+    return environment_score(findings, paths.select("project").distinct().join(names, "project", "left").na.fill(0, ["variables"]))
 
 
 # churn: churn(project, path, commits, added, deleted), complexity(project, path, max_cc)

@@ -237,6 +237,28 @@ def test_health_covers_imports_and_environment_and_all_ten_engines(spark):
     assert {x.engines for x in health.values()} == {10} and health["p"].overall_grade == "F" and health["p"].lowest == 50
 
 
+def test_health_makes_each_text_four_times_at_most_and_walks_it_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def text(path):
+        made.add(1)
+        return "import os\nX = os.environ['A']  # TODO: x\n"
+
+    rows = spark.createDataFrame([("p", f"m{i}.py") for i in range(20)], "project string, path string")
+    given = rows.withColumn("content", F.udf(text, "string").asNondeterministic()("path"))
+    assert quality.health(quality.all_scores(given, extract.extract(given, *quality.HEALTH_FACETS))).first().engines == 10
+    # facts, debt, variables and references
+    assert 0 < made.value <= 4 * 20
+    tree, missed = ast.parse("class A:\n    def f(self): return 1"), facets.walked.cache_info().misses
+    for facet in quality.HEALTH_FACETS:
+        facets.FACETS[facet](tree, "", "a.py")
+    assert facets.walked.cache_info().misses == missed + 1
+
+
+def test_long_sums_do_not_stop_the_security_rules():
+    assert rules("security", "eval(x)\ny = " + " + ".join(["1"] * 2000)) == ["eval-exec"]
+
+
 def test_projects_without_env_files_have_that_finding_alone(spark):
     defs = spark.createDataFrame([("q", "A", "v", ".env.example", 1, "template"), ("q", "B", "v", ".env", 1, "actual")], "project string, name string, value string, file string, line int, kind string")
     refs = spark.createDataFrame([("p", "A"), ("p", "B"), ("q", "B"), ("q", "C")], "project string, name string")
